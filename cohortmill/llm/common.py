@@ -73,3 +73,53 @@ def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return docs.join(ids, F.col(key) == F.col("__id"), "left_anti")
+
+
+def deal(rows: DataFrame, keys: list[str], member: str, most: int) -> DataFrame:
+    """``rows`` with the columns part and side, so that no group of ``keys`` is larger than about ``most`` rows.
+
+    A group within the bound is left alone (part -1).  A larger one is cut into n blocks by the hash
+    of ``member``; every block meets every other in a part of its own, to which both are copied, and
+    ``side`` tells the blocks of a part apart (a part of one block compares it with itself).
+    """
+    n = save(rows.groupBy(*keys).count().where(F.col("count") > most).select(*[F.col(k).alias(f"__{k}") for k in keys], F.ceil(F.col("count") / (most // 2)).cast("int").alias("__n")), "large-groups")
+    alone = [F.lit(-1).alias("part"), F.lit(0).alias("side")]
+    if n.isEmpty():
+        return rows.select("*", *alone)
+    cond = [F.col(k) == F.col(f"__{k}") for k in keys]
+    joined = rows.join(n, cond, "left").withColumn("__own", F.pmod(F.xxhash64(member), F.col("__n")).cast("int"))
+    parts = joined.where("__n is not null").withColumn("__other", F.explode(F.expr("sequence(0, __n - 1)")))
+    part = F.least("__own", "__other") * F.col("__n") + F.greatest("__own", "__other")
+    return joined.where("__n is null").select(*rows.columns, *alone).union(parts.select(*rows.columns, part.alias("part"), F.col("__own").alias("side")))
+
+
+def sorted_groups(batches, n_keys: int):
+    """The groups of rows that agree in the first ``n_keys`` columns, from batches sorted by them: (keys, list of numpy columns)."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list[pa.Table] = []
+    key = None
+
+    def out():
+        t = pa.concat_tables(held).combine_chunks()
+        return key, [c.chunk(0) for c in t.columns]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)]
+        change = np.zeros(b.num_rows - 1, bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            now = tuple(c[lo].item() for c in cols)
+            if held and now != key:
+                yield out()
+                held = []
+            key = now
+            held.append(t.slice(lo, hi - lo))
+    if held:
+        yield out()

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import sliced
-from .common import save, ship, table, without_ids
+from .common import deal, save, ship, table, without_ids
 from .graph import components
 
 RADIUS = 3
@@ -162,16 +162,7 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     """
     emb = embed(F.col("fp"))
     cells = fps.where("node is not null").select("fp", "node", F.posexplode(F.array(*[emb.bitwiseAND(F.lit(m)) for m in masks()])).alias("k", "cell"))
-    large = save(cells.groupBy("k", "cell").count().where(F.col("count") > CELL).select(F.col("k").alias("lk"), F.col("cell").alias("lc"), F.ceil(F.col("count") / (CELL // 2)).cast("int").alias("n")), "large-cells")
-    if large.isEmpty():
-        dealt = cells.select("k", "cell", F.lit(-1).alias("part"), F.lit(0).alias("side"), "fp", "node")
-    else:
-        # a large cell in n blocks: every block meets every other in a part of its own, and each row goes to n parts
-        own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-        joined = cells.join(large, (F.col("k") == F.col("lk")) & (F.col("cell") == F.col("lc")), "left").withColumn("own", own)
-        small = joined.where("n is null").select("k", "cell", F.lit(-1).alias("part"), F.lit(0).alias("side"), "fp", "node")
-        parts = joined.where("n is not null").select("k", "cell", "n", "own", "fp", "node", F.explode(F.expr("sequence(0, n - 1)")).alias("other"))
-        dealt = small.union(parts.select("k", "cell", (F.least("own", "other") * F.col("n") + F.greatest("own", "other")).alias("part"), F.col("own").alias("side"), "fp", "node"))
+    dealt = deal(cells, ["k", "cell"], "fp", CELL)
     ship(fps.sparkSession)
     spread = dealt.repartition("k", "cell", "part").sortWithinPartitions("k", "cell", "part", "fp").select(F.col("k").cast("int"), F.col("cell").cast("long"), F.col("part").cast("int"), F.col("side").cast("int"), F.col("fp").cast("long"), F.col("node").cast("long"))
     return components(spread.mapInArrow(_cells, "a long, b long"))
