@@ -115,7 +115,7 @@ def sorted_groups(batches, n_keys: int):
             change |= c[1:] != c[:-1]
         edges = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
         for lo, hi in zip(edges, edges[1:], strict=False):
-            now = tuple(c[lo].item() for c in cols)
+            now = tuple(x.item() if hasattr(x := c[lo], "item") else x for c in cols)
             if held and now != key:
                 yield out()
                 held = []
