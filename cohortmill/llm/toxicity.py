@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import sliced
-from .common import ship, table
+from .common import save, ship, table
 
 BITS = 18
 BINS = 1 << BITS
@@ -34,6 +34,8 @@ SIZES = (4, 5, 6)
 #: Labelled texts, clean and toxic, that are used for training at most.
 MOST = (2000, 1000)
 THRESHOLD = 0.7
+#: Bins of a ratio nearer to zero tell nothing and are left out.
+LEAST_RATIO = 0.25
 #: Bytes of a text that are hashed at a time.
 PIECE = 1 << 20
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -59,23 +61,20 @@ def distinct_bins(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 100, alpha: float = 1.0, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weight of every bin (ratio included) and the bias.
+def ratios(bin: np.ndarray, n: np.ndarray, pos: np.ndarray, rows: int, toxic: int, alpha: float = 1.0) -> np.ndarray:
+    """Log-count ratio of every bin, from how many rows and how many toxic rows hold it."""
+    out = np.zeros(BINS)
+    out[bin] = np.log((pos + alpha) / (toxic + 2 * alpha)) - np.log((n - pos + alpha) / (rows - toxic + 2 * alpha))
+    return out
+
+
+def fit(flat: np.ndarray, of: np.ndarray, labels: np.ndarray, ratio: np.ndarray, rounds: int = 100, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weight of every bin (ratio included) and the bias, from the bins ``flat`` of the rows ``of``.
 
     Logistic loss, both classes weighing the same, by accelerated gradient steps of one over the
     curvature; stopped early, so that a bin's weight stays in proportion to its evidence.
     """
-    toxic, n = int(labels.sum()), len(labels)
-    if toxic in (0, n):
-        return np.zeros(BINS, np.float32), (30.0 if toxic else -30.0)
-    flat, of = np.concatenate(rows).astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    pos = np.bincount(flat, weights=labels[of], minlength=BINS)
-    neg = np.bincount(flat, minlength=BINS) - pos
-    ratio = np.log((pos + alpha) / (toxic + 2 * alpha)) - np.log((neg + alpha) / (n - toxic + 2 * alpha))
-    ratio[pos + neg < max(3, toxic // 20)] = 0
-    some = ratio[flat] != 0
-    flat, of = flat[some], of[some]
-    value = ratio[flat]
+    toxic, n, value = int(labels.sum()), len(labels), ratio[flat]
     share = np.where(labels == 1, 0.5 / toxic, 0.5 / (n - toxic))
 
     def margins(w: np.ndarray) -> np.ndarray:
@@ -134,13 +133,24 @@ def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST) -> t
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int32()))], ["id", "toxic", "bins"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("t")).join(sample, F.col("doc") == F.col("id")).select("id", "toxic", "t")
-    got = rows.dropDuplicates(["id"]).mapInArrow(run, "id long, toxic int, bins array<int>").orderBy("id").toArrow()
-    if not got.num_rows:
-        return np.zeros(BINS, np.float32), -30.0
-    each = got.column("bins").combine_chunks()
-    each = each.chunk(0) if isinstance(each, pa.ChunkedArray) else each
-    flat, at = each.flatten().to_numpy().astype(np.int64), np.cumsum(np.diff(each.offsets.to_numpy()))
-    return fit(np.split(flat, at[:-1]), got.column("toxic").to_numpy().astype(np.float64))
+    rows = save(rows.mapInArrow(run, "id long, toxic int, bins array<int>").groupBy("id", "toxic").agg(F.min("bins").alias("bins")), "bins")
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if toxic in (0, n):
+        return np.zeros(BINS, np.float32), (30.0 if toxic else -30.0)
+    # counts and ratios of the bins first, so that only those that tell the classes apart come to the driver
+    counts = rows.select("toxic", F.explode("bins").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).where(F.col("n") >= max(3, toxic // 20)).toArrow()
+    ratio = ratios(counts["bin"].to_numpy(), counts["n"].to_numpy(), counts["pos"].to_numpy(), n, toxic)
+    told = np.abs(ratio) >= LEAST_RATIO
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [x[told[x]] for x in (np.array(r, np.int32) for r in b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int32()))], ["id", "toxic", "bins"])
+
+    got = rows.mapInArrow(pick, "id long, toxic int, bins array<int>").orderBy("id").toArrow().combine_chunks()
+    each = got.column("bins").chunk(0)
+    of = np.repeat(np.arange(n, dtype=np.int32), np.diff(each.offsets.to_numpy()))
+    return fit(each.flatten().to_numpy(), of, got.column("toxic").to_numpy().astype(np.float64), ratio)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
