@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import ship, table
 
 #: Fragments kept in a worker's dictionary; beyond that it starts anew.
-KEPT = 1_000_000
+KEPT = 300_000
 #: Pre-splitting rule of the byte-level tokenizer (fixed value).
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -237,7 +237,7 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids", "decoded")
 
 
-def sliced(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, column: int, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text, or of one row."""
     import pyarrow.compute as pc
 

@@ -16,11 +16,26 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 _written: list[str] = []
 
 
+#: Rows and bytes of an Arrow batch, so that a batch of long texts stays small on both sides.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "8m")}
+#: For the Python workers: memory that is freed goes back to the system.
+WORKER = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "8388608", "MALLOC_MMAP_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let the Python workers import this package wherever the session was started."""
+    """Let the Python workers import this package wherever the session was started, and keep their batches small.
+
+    Batch sizes are set only where the session still has Spark's defaults.
+    """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", ""):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    for key, value in WORKER.items():
+        env.setdefault(key, value)
+    given = dict(spark.sparkContext.getConf().getAll())
+    for key, (default, ours) in BATCH.items():
+        if key not in given and (default is None or spark.conf.get(key, default) == default):
+            spark.conf.set(key, ours)
     return spark
 
 

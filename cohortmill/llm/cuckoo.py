@@ -27,6 +27,8 @@ from .common import save, ship, table, without_ids
 
 SLOTS = 4
 KICKS = 200
+#: Rows of one task that are reduced together.
+REDUCED = 50_000
 
 
 class CuckooFilter:
@@ -126,11 +128,20 @@ def digest(text: Column) -> Column:
 
 
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a digest and batch: the largest id and the number of rows."""
+    """One row a digest and REDUCED rows: the largest id and the number of rows."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).group_by("digest").aggregate([("doc_id", "max"), ("digest", "count")])
+        yield from pa.table({"digest": t["digest"], "doc_id": t["doc_id_max"], "n": t["digest_count"].cast(pa.int64())}).combine_chunks().to_batches()
+        held.clear()
+
     for b in batches:
-        t = pa.Table.from_batches([b]).group_by("digest").aggregate([("doc_id", "max"), ("doc_id", "count"), ("digest", "count")])
-        out = pa.table({"digest": t["digest"], "doc_id": t["doc_id_max"], "n": t["digest_count"].cast(pa.int64())})
-        yield from out.combine_chunks().to_batches()
+        held.append(b)
+        if sum(x.num_rows for x in held) >= REDUCED:
+            yield from out()
+    if held:
+        yield from out()
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import save
 
 #: Nodes that one task keeps before it passes on what it has contracted.
-NODES = 500_000
+NODES = 100_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
