@@ -101,7 +101,7 @@ def eco_types(creator_type: Column) -> tuple[Column, Column]:
     """Assertion and evidence type IRIs (fixed values of the public Evidence and Conclusion Ontology); another type is an error."""
     bad = F.raise_error(F.concat(F.lit("unknown creator_type: "), F.coalesce(creator_type, F.lit("null"))))
     assertion = F.when(creator_type == "automated", OBO + "ECO_0000203").when(creator_type == "manual", OBO + "ECO_0000218").otherwise(bad.cast("string"))
-    evidence = F.when(creator_type == "automated", OBO + "ECO_0006162").when(creator_type == "manual", OBO + "ECO_0006154").otherwise(bad.cast("string"))
+    evidence = F.when(creator_type == "automated", OBO + "ECO_0006162").when(creator_type == "manual", OBO + "ECO_0006161").otherwise(bad.cast("string"))
     return assertion, evidence
 
 
