@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import ship, table
 
 #: Fragments kept in a worker's dictionary; beyond that it starts anew.
-KEPT = 300_000
+KEPT = 150_000
 #: Pre-splitting rule of the byte-level tokenizer (fixed value).
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -52,7 +52,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns[:2]
     links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    now, seen = save(links.mapInArrow(_contract, "a long, b long").distinct(), "cc"), None
+    # the exchange keeps what made the links and the contraction from running Python workers side by side
+    now, seen = save(links.distinct().mapInArrow(_contract, "a long, b long").distinct(), "cc"), None
     while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))

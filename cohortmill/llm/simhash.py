@@ -171,7 +171,8 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """doc_id, fp and component_id for every row."""
     rows = save(fingerprints(docs, key, text, words), "fingerprints")
-    fps = save(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # narrow rows that the grid multiplies: keep them apart
+    fps = save(rows.groupBy("fp").agg(F.min("doc_id").alias("node")).repartition(spread, "fp"), "distinct-fingerprints")
     roots = link_fingerprints(fps)
     named = fps.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "node").alias("component_id"))
     return rows.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
