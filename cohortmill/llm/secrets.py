@@ -65,6 +65,7 @@ def samples(spark: SparkSession, n: int = 2000) -> DataFrame:
 
     parts = [word(k) for k in range(4)]
     styles = [F.concat_ws("_", *parts), F.concat_ws("-", *parts), F.concat(*[F.initcap(p) for p in parts]), F.concat(parts[0], *[F.initcap(p) for p in parts[1:]]), F.concat_ws("/", *parts), F.upper(F.concat_ws("_", *parts[:3])), F.concat(*parts), F.concat_ws("_", *parts[:3], (i % 100).cast("string"))]
+    styles.append(F.repeat(F.substr(F.lit(ALPHABET), (F.pmod(F.xxhash64(i), F.lit(len(ALPHABET))) + 1).cast("int"), F.lit(1)), F.lit(24)))  # rulers and fillers
     ordinary = spark.range(n).select(F.element_at(F.array(*styles), (i % len(styles) + 1).cast("int")).alias("text"), F.lit(0).alias("random"))
     return random.union(ordinary)
 
