@@ -135,10 +135,13 @@ ev("case_types", f"select evidence_id, case creator_type when 'automated' then '
 ev("get_evidence", "select evidence_id, subject_id, term_iri, qual_key, creator_id from ev order by evidence_id limit 1")(lambda e: e.orderBy("evidence_id").limit(1).select("evidence_id", "subject_id", "term_iri", "qual_key", "creator_id"))
 
 
-@ev("get_evidence_for_termlink", f"select evidence_id, note_date, creator_id from ev where subject_id = 'subj-7' and term_iri = '{TERM_IRI}' and termlink_id = sha256('{X.BASE}subjects/subj-7|{TERM_IRI}|')")
+LINK_SUBJECT, LINK_TERM = "subj-0", X.OBO + "HP_0000034"
+
+
+@ev("get_evidence_for_termlink", f"select evidence_id, note_date, creator_id from ev where subject_id = '{LINK_SUBJECT}' and term_iri = '{LINK_TERM}' and termlink_id = sha256('{X.BASE}subjects/{LINK_SUBJECT}|{LINK_TERM}|')")
 def get_evidence_for_termlink(e):
-    link = X.termlink_hash(X.subject_iri(F.lit("subj-7")), F.lit(TERM_IRI), F.expr("cast(array() as array<string>)"))
-    return e.where((F.col("subject_id") == "subj-7") & (F.col("term_iri") == TERM_IRI) & (F.col("termlink_id") == link)).orderBy("note_date", "evidence_id").select("evidence_id", "note_date", "creator_id")
+    link = X.termlink_hash(X.subject_iri(F.lit(LINK_SUBJECT)), F.lit(LINK_TERM), F.expr("cast(array() as array<string>)"))
+    return e.where((F.col("subject_id") == LINK_SUBJECT) & (F.col("term_iri") == LINK_TERM) & (F.col("termlink_id") == link)).orderBy("note_date", "evidence_id").select("evidence_id", "note_date", "creator_id")
 
 
 bs("get_subject_term_info", "select term_iri, evidence_count, first_evidence_date, last_evidence_date, qual_key from bs where subject_id = 'subj-7'")(lambda b: b.where("subject_id = 'subj-7'").select("term_iri", "evidence_count", "first_evidence_date", "last_evidence_date", "qual_key"))
