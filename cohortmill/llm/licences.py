@@ -89,8 +89,9 @@ def units(docs: DataFrame, text: str = "text") -> DataFrame:
     """__row, the columns of ``docs``, unit (line, paragraph or text), ord from 1, and its words."""
     t = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER)
 
+    # the words are listed before the explode, since filters above it would repeat the pattern
     def named(kind: str, parts: Column) -> Column:
-        return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("unit"), (i + 1).alias("ord"), x.alias("t")))
+        return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("unit"), (i + 1).alias("ord"), F.regexp_extract_all(x, F.lit(WORD), F.lit(0)).alias("w")))
 
     gap = r"\n[ \t\r]*\n"
     paragraphs = F.when(t.rlike(gap), F.split(t, gap, -1)).otherwise(F.expr("cast(array() as array<string>)"))
@@ -98,7 +99,7 @@ def units(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.when(F.instr(t, "\n") > 0, F.array(t)).otherwise(F.expr("cast(array() as array<string>)"))
     every = F.concat(named("line", F.split(t, "\n", -1)), named("paragraph", paragraphs), named("text", whole))
     out = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__u", F.explode(every))
-    return out.select("__row", *[F.col(f"`{c}`") for c in docs.columns if c != text], F.col("__u.unit").alias("unit"), F.col("__u.ord").cast("long").alias("ord"), F.regexp_extract_all("__u.t", F.lit(WORD), F.lit(0)).alias("__words"))
+    return out.select("__row", *[F.col(f"`{c}`") for c in docs.columns if c != text], F.col("__u.unit").alias("unit"), F.col("__u.ord").cast("long").alias("ord"), F.col("__u.w").alias("__words"))
 
 
 def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
