@@ -4,26 +4,29 @@ First, by markup: elements that are never main text are left out (scripts, style
 headers, footers, sidebars, adverts, notices, reader comments, by element name, role, class or id).
 What an explicit article element holds is the page's main text.
 
-Pages without one give all that is left, and there unmarked boilerplate remains.  For it the token
-streams of a host's pages are concatenated, each block between boundary tokens, and their suffixes
+Unmarked boilerplate remains in what markup leaves, inside articles too.  For it the token streams
+of all of a host's pages are concatenated, each block between boundary tokens, and their suffixes
 are sorted by prefix doubling (to a depth of RUN tokens, which is all that is asked).  Equal runs of
 RUN tokens on PAGES distinct pages or more mark what they cover, and a block covered as a whole is
 boilerplate; all other blocks are kept.  Pages whose streams are equal count as one page, so copies
-of a page do not erase each other.  A host of more than CHUNK such pages is dealt out by the hash of
-page_id to groups of about CHUNK; boilerplate is repeated in each of them.
+of a page do not erase each other.
 
-Rows read twice, html shuffled never: the first pass passes on only the blocks in doubt, the second
-one extracts the texts and leaves out what the suffix arrays found.
+A host of more than CHUNK pages is dealt out by the hash of the stream to groups of about CHUNK, so
+that equal streams meet; each group is judged by itself.
+
+Pages are parsed once and their blocks written; html is never shuffled.
 
 Edge cases: null and empty pages give an empty text; unclosed and stray tags end with what holds
 them; an unended comment or script runs to the end; null urls are one host; rows that repeat a
-page_id are judged together; an empty table gives no rows.
+page_id, or have none, are judged one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +40,7 @@ from .common import save, ship, sorted_groups, table
 RUN = 5
 PAGES = 3
 CHUNK = 400
-#: Pages with blocks to leave out that are broadcast; beyond that they are joined by a shuffle.
+#: Distinct pages with blocks to leave out that are broadcast (their numbers, not texts); beyond that they are joined by a shuffle.
 BROADCAST_PAGES = 20_000
 
 _TAG = re.compile(
@@ -136,95 +139,115 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
     return [t for t, k in out if k == best], best > 0
 
 
-def covered(streams: list[list[list[int]]]) -> list[list[bool]]:
-    """For each page (a list of blocks of token numbers from 1) which of its blocks are boilerplate.
+class Suffixes:
+    """The suffix array, to a depth of RUN tokens, of pages that are lists of blocks of words.
 
-    Suffix array by prefix doubling: after the last step, suffixes of equal rank share RUN tokens.
+    By prefix doubling: after the last step, suffixes of equal rank share RUN tokens.
     """
-    flat, page, where = [], [], []
-    top = 1 + max((max(b, default=0) for s in streams for b in s), default=0)
-    for i, s in enumerate(streams):
-        for j, b in enumerate(s):
-            flat += [0, *b]  # 0 begins a block
-            page += [i] * (len(b) + 1)
-            where += [j] * (len(b) + 1)
-        flat += [0, top + i]  # ends the last block; a token of its own ends the page
-        page += [i, i]
-        where += [-1, -1]
-    tokens, page = np.array(flat, np.int64), np.array(page, np.int64)
-    rank, depth = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
-    while depth < RUN:
-        step = min(depth, RUN - depth)
-        behind = np.full(len(rank), -1, np.int64)
-        behind[:-step] = rank[step:]
-        rank = np.unique(rank * (len(rank) + 1) + behind + 1, return_inverse=True)[1].astype(np.int64)
-        depth += step
-    order = np.argsort(rank, kind="stable")  # the suffixes in the order of their first RUN tokens
-    sorted_rank, sorted_page = rank[order], page[order]
-    pairs = np.unique(sorted_rank * len(streams) + sorted_page)
-    distinct = np.bincount(pairs // len(streams), minlength=int(rank.max()) + 1)
-    often = distinct[rank] >= PAGES
-    cover = np.zeros(len(rank) + RUN, np.int64)
-    np.add.at(cover, np.flatnonzero(often), 1)
-    np.add.at(cover, np.flatnonzero(often) + RUN, -1)
-    inside = np.cumsum(cover)[: len(rank)] > 0
-    out = [[True] * len(s) for s in streams]
-    for k in np.flatnonzero(~inside & (tokens != 0)).tolist():
-        if where[k] >= 0:
-            out[page[k]][where[k]] = False
-    return out
-
-
-def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def __init__(self, pages: list[list[str]]) -> None:
+        numbers: dict[str, int] = {}
+        flat, page, where = [], [], []
+        for i, s in enumerate(pages):
+            for j, b in enumerate(s):
+                words = [numbers.setdefault(w, len(numbers) + 1) for w in b.split()]
+                flat += [0, *words]  # 0 begins a block
+                page += [i] * (len(words) + 1)
+                where += [j] * (len(words) + 1)
+            flat += [0, -1 - i]  # ends the last block; a token of its own ends the page
+            page += [i, i]
+            where += [-1, -1]
+        self.pages, self.words = pages, list(numbers)
+        self.tokens, self.page, self.where = np.array(flat, np.int64), np.array(page, np.int32), np.array(where, np.int32)
+        rank, depth = np.unique(self.tokens, return_inverse=True)[1].astype(np.int64), 1
+        while depth < RUN:
+            step = min(depth, RUN - depth)
+            behind = np.full(len(rank), -1, np.int64)
+            behind[:-step] = rank[step:]
+            rank = np.unique(rank * (len(rank) + 1) + behind + 1, return_inverse=True)[1].astype(np.int64)
+            depth += step
+        self.rank = rank
+        # distinct pages of each rank
+        self.distinct = np.bincount(np.unique(rank * len(pages) + self.page) // len(pages), minlength=int(rank.max(initial=-1)) + 1)
+
+    def covered(self) -> list[list[bool]]:
+        """For each page which of its blocks are boilerplate."""
+        often = (self.distinct >= PAGES)[self.rank]
+        cover = np.zeros(len(self.rank) + RUN, np.int64)
+        cover[: len(often)] += often
+        cover[RUN:] -= often
+        inside = np.cumsum(cover)[: len(self.rank)] > 0
+        out = [[True] * len(s) for s in self.pages]
+        for k in np.flatnonzero(~inside & (self.tokens > 0)).tolist():
+            out[self.page[k]][self.where[k]] = False
+        return out
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of every page and a hash of them."""
     for whole in batches:
-        for b in sliced(whole, 2):
-            ids, hosts, texts = [], [], []
-            for i, h, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                got, sure = blocks(page)
-                if got and not sure:
-                    ids.append(i)
-                    hosts.append(h)
-                    texts.append(got)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(texts, pa.list_(pa.string()))], ["host", "page_id", "blocks"])
+        for b in sliced(whole, 3):
+            got = [blocks(page)[0] for page in b.column(3).to_pylist()]
+            keys = [int.from_bytes(hashlib.blake2b("\n".join(x).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for x in got]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(keys, pa.int64()), pa.array(got, pa.list_(pa.string()))], ["page_id", "url", "host", "stream", "blocks"])
 
 
-def _boilerplate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, (_, _, ids, texts) in sorted_groups(batches, 2):
-        numbers: dict[str, int] = {}
-        pages = texts.to_pylist()
-        distinct = {tuple(p): k for k, p in enumerate(pages)}  # copies of a page count once
-        first = list(dict.fromkeys(tuple(p) for p in pages))
-        streams = [[[numbers.setdefault(w, len(numbers) + 1) for w in b.split()] for b in p] for p in first]
-        found = dict(zip(first, covered(streams), strict=True)) if len(distinct) >= PAGES else {}
-        gone = [(i, [t for t, x in zip(p, found[tuple(p)], strict=True) if x]) for i, p in zip(ids.to_pylist(), pages, strict=True) if found and any(found[tuple(p)])]
-        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in gone], pa.int64()), pa.array([g[1] for g in gone], pa.list_(pa.string()))], ["gone_id", "gone"])
+def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose host and stream this task has not met before, so that copies of a page are few; blocks are packed."""
+    seen: set[int] = set()
+    for b in batches:
+        new = []
+        for i, pair in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            h = hash(pair)
+            if h not in seen:
+                seen.add(h)
+                new.append(i)
+        t = b.take(pa.array(new, pa.int64()))
+        packed = [zlib.compress("\n".join(x).encode("utf-8", "replace"), 1) for x in t.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(packed, pa.binary())], ["host", "stream", "packed"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for b in sliced(whole, 2):
-            texts = []
-            for page, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                got, _ = blocks(page)
-                drop = set(gone or ())
-                texts.append("\n".join([t for t in got if t not in drop]) if drop else "\n".join(got))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+def _suffixes(streams: pa.Array, packed: pa.Array) -> tuple[list[int], Suffixes]:
+    first = {k: i for i, k in enumerate(streams.to_pylist()) if k is not None}  # copies of a page count once
+    return list(first), Suffixes([zlib.decompress(packed[i].as_py()).decode().split("\n") for i in first.values()])
+
+
+def _boilerplate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows host, chunk, stream, packed: the places of the blocks to leave out of every stream."""
+    for (host, _), (_, _, streams, packed) in sorted_groups(batches, 2):
+        keys, found = _suffixes(streams, packed)
+        gone = []
+        for key, page, marks in zip(keys, found.pages, found.covered(), strict=True):
+            drop = {t for t, x in zip(page, marks, strict=True) if x}
+            if drop:
+                gone.append((key, [j for j, t in enumerate(page) if t in drop]))
+        yield pa.RecordBatch.from_arrays([pa.array([host] * len(gone), pa.string()), pa.array([g[0] for g in gone], pa.int64()), pa.array([g[1] for g in gone], pa.list_(pa.int32()))], ["h", "s", "gone"])
+
+
+def boilerplate(parsed: DataFrame) -> DataFrame:
+    """h, s (host and stream) and gone (places of blocks from 0) of the distinct pages that hold boilerplate."""
+    large = save(parsed.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n")).where("n > 1").withColumnRenamed("host", "h"), "large-hosts")
+    if large.count() <= BROADCAST_PAGES:
+        large = F.broadcast(large)
+    streams = parsed.where(F.size("blocks") > 0).select("host", "stream", "blocks").mapInArrow(_first_seen, "host string, stream long, packed binary")
+    n = F.coalesce("n", F.lit(1))
+    dealt = streams.join(large, F.col("host") == F.col("h"), "left").select("host", F.pmod("stream", n).cast("int").alias("chunk"), "stream", "packed")
+    found = dealt.repartition("host", "chunk").sortWithinPartitions("host", "chunk").mapInArrow(_boilerplate, "h string, s long, gone array<int>")
+    return save(found, "boilerplate")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url and text of every row."""
     ship(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    doubt = save(pages.select(F.col(key).cast("long").alias("page_id"), host.alias("host"), F.col(page).cast("string").alias("html")).mapInArrow(_doubtful, "host string, page_id long, blocks array<string>"), "blocks")
-    sizes = doubt.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n")).withColumnRenamed("host", "h")
-    dealt = doubt.join(sizes, F.col("host") == F.col("h")).select("host", F.pmod(F.xxhash64("page_id"), F.col("n")).cast("int").alias("chunk"), "page_id", "blocks")
-    found = dealt.repartition("host", "chunk").sortWithinPartitions("host", "chunk", "page_id").mapInArrow(_boilerplate, "gone_id long, gone array<string>")
-    gone = save(found.groupBy("gone_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "boilerplate")
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), host.alias("host"), F.col(page).cast("string").alias("html"))
+    parsed = save(rows.mapInArrow(_parsed, "page_id long, url string, host string, stream long, blocks array<string>"), "blocks")
+    gone = boilerplate(parsed)
     if gone.count() <= BROADCAST_PAGES:
         gone = F.broadcast(gone)
-    out = rows.join(gone, F.col("page_id") == F.col("gone_id"), "left").select("page_id", "url", "html", "gone")
-    return out.mapInArrow(_texts, "page_id long, url string, text string")
+    out = parsed.join(gone, (F.col("host") == F.col("h")) & (F.col("stream") == F.col("s")), "left")
+    kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda t, j: ~F.array_contains("gone", j)))
+    return out.select("page_id", "url", F.array_join(kept, "\n").alias("text"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

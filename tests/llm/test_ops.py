@@ -200,6 +200,14 @@ def test_pages(spark):
     assert (got[90], got[91], got[92], got[93]) == ("", "", "a & b c\nd", "T\nkeep")
 
 
+def test_pages_in_articles(spark):
+    page = "<article><h1>Title %d</h1><p>A story of its own with number %d in it</p><p>Share this story with your friends today</p></article>"
+    rows = [(i, f"http://h.com/{i}", page % (i, i * 7)) for i in range(4)] + [(None, "http://h.com/4", page % (4, 28)), (5, "http://other.com/", page % (5, 35))]
+    got = {r.url: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[f"http://h.com/{i}"] == f"Title {i}\nA story of its own with number {i * 7} in it" for i in range(5))
+    assert got["http://other.com/"].endswith("friends today")
+
+
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(3)
     words = ["lorem", "ipsum", "dolor", "amet", "tempor", "magna", "aliqua", "veniam", "nostrud", "laboris"]
