@@ -12,7 +12,9 @@ boilerplate; all other blocks are kept.  Pages whose streams are equal count as
 of a page do not erase each other.
 
 A host of more than CHUNK pages is dealt out by the hash of the stream to groups of about CHUNK, so
-that equal streams meet; each group is judged by itself.
+that equal streams meet.  Each group sorts its own suffixes and gives the number of distinct pages of
+every run; these are added up over the host, and the runs that reach PAGES there go back to the
+groups that hold them.  So what is boilerplate does not depend on how a host is dealt.
 
 Pages are parsed once and their blocks written; html is never shuffled.
 
@@ -42,6 +44,10 @@ PAGES = 3
 CHUNK = 400
 #: Distinct pages with blocks to leave out that are broadcast (their numbers, not texts); beyond that they are joined by a shuffle.
 BROADCAST_PAGES = 20_000
+#: Bits of a run's hash that are passed on; the others deal it to a bucket.
+LOW = (1 << 48) - 1
+#: Odd multipliers of the tokens of a run; a run's hash is the same in every group.
+_MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(RUN)], np.uint64)
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
@@ -170,9 +176,23 @@ class Suffixes:
         # distinct pages of each rank
         self.distinct = np.bincount(np.unique(rank * len(pages) + self.page) // len(pages), minlength=int(rank.max(initial=-1)) + 1)
 
-    def covered(self) -> list[list[bool]]:
-        """For each page which of its blocks are boilerplate."""
-        often = (self.distinct >= PAGES)[self.rank]
+    def hashes(self) -> np.ndarray:
+        """A hash of every rank's run; 0 for runs that reach over the end of a page, which no other page has."""
+        token = np.array([0] + [int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little") for w in self.words], np.uint64)
+        at = np.zeros(len(self.distinct), np.int64)
+        at[self.rank] = np.arange(len(self.rank))
+        out, ends = np.zeros(len(at), np.uint64), np.zeros(len(at), bool)
+        for k in range(RUN):
+            t = self.tokens[np.minimum(at + k, len(self.tokens) - 1)]
+            ends |= t < 0
+            x = token[np.maximum(t, 0)] + np.uint64(k + 1)
+            out += (x ^ (x >> np.uint64(29))) * _MIX[k]
+        out = (out ^ (out >> np.uint64(32))) * _MIX[0]
+        return np.where(ends, np.uint64(0), out | np.uint64(1)).view(np.int64)
+
+    def covered(self, frequent: np.ndarray | None = None) -> list[list[bool]]:
+        """For each page which of its blocks are boilerplate: by the runs on PAGES of these pages, or by the hashes ``frequent``."""
+        often = (self.distinct >= PAGES if frequent is None else np.isin(self.hashes() & LOW, frequent))[self.rank]
         cover = np.zeros(len(self.rank) + RUN, np.int64)
         cover[: len(often)] += often
         cover[RUN:] -= often
@@ -212,12 +232,40 @@ def _suffixes(streams: pa.Array, packed: pa.Array) -> tuple[list[int], Suffixes]
     return list(first), Suffixes([zlib.decompress(packed[i].as_py()).decode().split("\n") for i in first.values()])
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows host, chunk, stream, packed, n: the runs of every group, dealt to n buckets by hash, and on how many pages of the group (PAGES at most)."""
+    for (host, chunk), (_, _, streams, packed, n) in sorted_groups(batches, 2):
+        _, found = _suffixes(streams, packed)
+        run, size = found.hashes(), n[0].as_py()
+        pages, run = np.minimum(found.distinct[run != 0], PAGES).astype(np.uint8), run[run != 0]
+        bucket = (run.view(np.uint64) >> np.uint64(48)).astype(np.int64) % size
+        order = np.argsort(bucket, kind="stable")
+        run, pages, edges = run[order], pages[order], np.searchsorted(bucket[order], np.arange(size + 1))
+        low = np.ascontiguousarray(run.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6])
+        parts = [(k, low[i:j].tobytes(), pages[i:j].tobytes()) for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i]
+        cols = [pa.array([host] * len(parts), pa.string()), pa.array([x[0] for x in parts], pa.int32()), pa.array(np.full(len(parts), chunk), pa.int32()), pa.array([x[1] for x in parts], pa.binary()), pa.array([x[2] for x in parts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["host", "bucket", "chunk", "runs", "pages"])
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows host, bucket, chunk, runs, pages: for every group the runs it holds that are on PAGES pages of the host."""
+    for (host, _), (_, _, chunk, runs, pages) in sorted_groups(batches, 2):
+        low = np.frombuffer(b"".join(runs.to_pylist()), np.uint8).reshape(-1, 6)
+        run = np.pad(low, ((0, 0), (0, 2))).view("<i8").ravel()
+        known, at = np.unique(run, return_inverse=True)
+        often = np.bincount(at, weights=np.frombuffer(b"".join(pages.to_pylist()), np.uint8), minlength=len(known))[at] >= PAGES
+        ends = np.cumsum([len(x) for x in pages.to_pylist()])
+        got = [(c, x[y]) for c, x, y in zip(chunk.to_pylist(), np.split(run, ends[:-1]), np.split(often, ends[:-1]), strict=True) if y.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([host] * len(got), pa.string()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["host", "chunk", "runs"])
+
+
 def _boilerplate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows host, chunk, stream, packed: the places of the blocks to leave out of every stream."""
-    for (host, _), (_, _, streams, packed) in sorted_groups(batches, 2):
+    """Rows host, chunk, stream, packed, runs, n: the places of the blocks to leave out of every stream."""
+    for (host, _), (_, _, streams, packed, runs, n) in sorted_groups(batches, 2):
         keys, found = _suffixes(streams, packed)
+        frequent = runs.flatten().to_numpy() if n[0].as_py() > 1 else None
         gone = []
-        for key, page, marks in zip(keys, found.pages, found.covered(), strict=True):
+        for key, page, marks in zip(keys, found.pages, found.covered(frequent), strict=True):
             drop = {t for t, x in zip(page, marks, strict=True) if x}
             if drop:
                 gone.append((key, [j for j, t in enumerate(page) if t in drop]))
@@ -231,8 +279,14 @@ def boilerplate(parsed: DataFrame) -> DataFrame:
         large = F.broadcast(large)
     streams = parsed.where(F.size("blocks") > 0).select("host", "stream", "blocks").mapInArrow(_first_seen, "host string, stream long, packed binary")
     n = F.coalesce("n", F.lit(1))
-    dealt = streams.join(large, F.col("host") == F.col("h"), "left").select("host", F.pmod("stream", n).cast("int").alias("chunk"), "stream", "packed")
-    found = dealt.repartition("host", "chunk").sortWithinPartitions("host", "chunk").mapInArrow(_boilerplate, "h string, s long, gone array<int>")
+    dealt = streams.join(large, F.col("host") == F.col("h"), "left").select("host", F.pmod("stream", n).cast("int").alias("chunk"), "stream", "packed", n.alias("n"))
+    own = dealt.where("n > 1").repartition("host", "chunk").sortWithinPartitions("host", "chunk")
+    runs = own.mapInArrow(_runs, "host string, bucket int, chunk int, runs binary, pages binary").repartition("host", "bucket").sortWithinPartitions("host", "bucket")
+    often = runs.mapInArrow(_frequent, "host string, chunk int, runs array<long>")
+    none = F.lit(None)
+    back = often.select("host", "chunk", none.cast("long").alias("stream"), none.cast("binary").alias("packed"), "runs", F.lit(2).alias("n"))
+    both = dealt.select("host", "chunk", "stream", "packed", none.cast("array<long>").alias("runs"), "n").union(back)
+    found = both.repartition("host", "chunk").sortWithinPartitions("host", "chunk").mapInArrow(_boilerplate, "h string, s long, gone array<int>")
     return save(found, "boilerplate")
 
 

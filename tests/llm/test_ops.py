@@ -208,6 +208,17 @@ def test_pages_in_articles(spark):
     assert got["http://other.com/"].endswith("friends today")
 
 
+def test_pages_large_host(spark, monkeypatch):
+    monkeypatch.setattr(pages, "CHUNK", 10)
+    page = "<div><p>A story of its own with number %d in it</p>%s</div>"
+    note = {7: "<p>Rare notice of three pages only here</p>", 40: "<p>Found on two pages and kept there</p>"}
+    has = {3: 7, 55: 7, 117: 7, 20: 40, 90: 40}
+    rows = [(i, f"http://h.com/{i}", page % (i, note.get(has.get(i), ""))) for i in range(120)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Rare" not in got[i] for i in range(120)) and [i for i in range(120) if "kept there" in got[i]] == [20, 90]
+    assert all(got[i].startswith(f"A story of its own with number {i} in it") for i in range(120))
+
+
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(3)
     words = ["lorem", "ipsum", "dolor", "amet", "tempor", "magna", "aliqua", "veniam", "nostrud", "laboris"]
