@@ -36,6 +36,8 @@ MOST = (2000, 1000)
 THRESHOLD = 0.7
 #: Bins of a ratio nearer to zero tell nothing and are left out.
 LEAST_RATIO = 0.25
+#: Training texts that must hold a bin, however many there are; the ratio and the decay weigh the rare ones.
+LEAST_TEXTS = 3
 #: Bytes of a text that are hashed at a time.
 PIECE = 1 << 20
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -138,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST) -> t
     if toxic in (0, n):
         return np.zeros(BINS, np.float32), (30.0 if toxic else -30.0)
     # counts and ratios of the bins first, so that only those that tell the classes apart come to the driver
-    counts = rows.select("toxic", F.explode("bins").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).where(F.col("n") >= max(3, toxic // 20)).toArrow()
+    counts = rows.select("toxic", F.explode("bins").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).where(F.col("n") >= LEAST_TEXTS).toArrow()
     ratio = ratios(counts["bin"].to_numpy(), counts["n"].to_numpy(), counts["pos"].to_numpy(), n, toxic)
     told = np.abs(ratio) >= LEAST_RATIO
 

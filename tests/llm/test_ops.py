@@ -233,3 +233,20 @@ def test_toxicity(spark, empty):
     got = {r.doc_id: r["__score"] for r in toxicity.score(df, toxicity.train(df, known)).collect()}
     assert all((got[i] >= toxicity.THRESHOLD) == (i % 4 == 0) for i in range(600)) and got[-1] == got[-2]
     assert toxicity.keep_clean(empty, known).count() == 0
+
+
+def test_toxicity_keeps_rare_features(spark):
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}{c}" for a in ("lo", "ip", "do", "am") for b in ("rem", "sum", "lor", "et") for c in ("us", "a", "ibus")]
+    rows, labels = [], []
+    for i in range(900):
+        t = list(rng.choice(words, 20))
+        toxic = i % 3 == 0
+        if toxic:
+            t[int(rng.integers(0, 20))] = "zwickelmurk" if i % 90 == 0 else "grumblefish"
+        rows.append((i, " ".join(t), "en", "s"))
+        labels.append((i, int(toxic)))
+    df, known = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rare = spark.createDataFrame([(-1, "lorema zwickelmurk ipsuma"), (-2, "lorema dolora ipsuma")], "doc_id long, text string")
+    got = {r.doc_id: r["__score"] for r in toxicity.score(rare, toxicity.train(df, known)).collect()}
+    assert got[-1] >= toxicity.THRESHOLD > got[-2]
