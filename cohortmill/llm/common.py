@@ -78,6 +78,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Column of a written key that no two rows share.
+ROW = "__row"
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the column ROW, written, so that every use of them reads the same keys."""
+    return save(rows.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose ``key`` is not in ``ids`` (rows with a null key stay).
 

@@ -12,7 +12,8 @@ built again with twice the buckets from the stored keys.
 
 Edge cases: a null text counts as empty; rows with a null doc_id belong to their group, and
 keep_id is null if a group has no other (then none is kept); rows that repeat the largest doc_id
-of a group are all marked as kept, being the same document; an empty table gives no rows.
+of a group are all marked as kept, being the same document; an empty table gives no rows.  The
+pipeline's stage decides by rows: exactly one row of each text stays, whatever the doc_ids.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, ship, table, without_ids
+from .common import ROW, keyed, save, ship, table, without_ids
 
 SLOTS = 4
 KICKS = 200
@@ -162,23 +163,26 @@ def groups(rows: DataFrame) -> DataFrame:
     return reduced.repartition("digest").mapInArrow(_index, "digest binary, keep_id long, group_size long")
 
 
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 for every row.
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 for every row, and its columns ``carry``.
 
     Shuffled are only digests: the reduced ones to the index, and all with their doc_id to the
     groups of two and more (a plain equi-join that Spark splits where a group is large).
     """
-    rows = save(docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(digest(F.col(text))).alias("digest")), "digests")
+    rows = save(docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(digest(F.col(text))).alias("digest"), *carry), "digests")
     copies = groups(rows).where("group_size > 1").select(F.col("digest").alias("d"), "keep_id", "group_size")
     out = rows.join(copies, F.col("digest") == F.col("d"), "left")
     keep = F.when(F.col("d").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *carry)
 
 
 def keep_last(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of equal texts that with the largest doc_id.  Rows with a null doc_id stay."""
-    gone = save(exact_groups(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "copies")
-    return without_ids(docs, gone)
+    """The rows of ``docs`` that stay: of equal texts one row, that with the largest doc_id (of several such rows, or if no row has one, the first)."""
+    rows = keyed(docs)
+    copies = save(exact_groups(rows, carry=(ROW,)).where("group_size > 1").select("text_sha256", ROW, (F.col("kept") | F.col("keep_id").isNull()).alias("may")), "copies")
+    stay = copies.where("may").groupBy("text_sha256").agg(F.min(ROW).alias("stays")).select("stays")
+    gone = save(copies.select(ROW).join(stay, F.col(ROW) == F.col("stays"), "left_anti"), "gone-copies")
+    return without_ids(rows, gone, ROW).drop(ROW)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

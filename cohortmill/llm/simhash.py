@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import sliced
-from .common import deal, save, ship, table, without_ids
+from .common import ROW, deal, keyed, save, ship, table, without_ids
 from .graph import components
 
 RADIUS = 3
@@ -184,6 +184,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; rows with a null doc_id stay."""
-    gone = save(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return without_ids(docs, gone)
+    """Of each component one row of ``docs``, that with the smallest doc_id (of several such rows, or if no row has one, the first)."""
+    rows = keyed(docs)
+    near = save(near_duplicates(rows, ROW).select(F.col("doc_id").alias("r"), F.col("component_id").alias("c")), "near-rows")
+    many = near.groupBy("c").count().where("count > 1").select(F.col("c").alias("m"))
+    member = near.join(many, F.col("c") == F.col("m"), "left_semi").join(rows.select(ROW, F.col("doc_id").cast("long").alias("id")), F.col("r") == F.col(ROW)).select("c", "r", "id")
+    member = save(member, "near-copies")
+    stay = member.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r")).alias("least")).select(F.col("least.r").alias("stays"))
+    gone = save(member.select("r").join(stay, F.col("r") == F.col("stays"), "left_anti"), "gone-near-copies")
+    return without_ids(rows, gone, ROW).drop(ROW)

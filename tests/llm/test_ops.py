@@ -84,6 +84,17 @@ def test_exact(docs, empty):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 2, 4, 5, *range(6, len(TEXTS))]
 
 
+def test_stages_decide_by_row(spark):
+    rows = [(None, "no id here at all", 0), (None, "no id here at all", 1), (4, "given twice with one text", 2), (4, "given twice with one text", 3)]
+    rows += [(5, "a copied text of some words", 4), (5, "an unlike text under that same id", 5), (6, "a copied text of some words", 6), (None, "a copied text of some words", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    for stage, left in ((cuckoo.keep_last, 6), (simhash.keep_first, 4)):
+        got = stage(df)
+        assert got.columns == df.columns
+        n = sorted(r.n for r in got.collect())
+        assert len(n) == 4 and len({0, 1} & set(n)) == 1 and len({2, 3} & set(n)) == 1 and set(n) - {0, 1, 2, 3} == {5, left}
+
+
 def test_cuckoo_grows_and_deletes():
     live = cuckoo.LiveIndex(16)
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
