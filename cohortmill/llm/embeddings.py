@@ -5,8 +5,11 @@ random directions a half (a product code of K x K filter directions); the vector
 all directions whose score exceeds a threshold.  Two vectors of cosine 0.95 share a filter with
 high probability, two unrelated ones hardly ever, so vectors are joined on filters and their exact
 cosine is verified in double precision.  The number of directions grows with the number of vectors,
-so that a filter holds about LOAD of them, and the threshold follows from it so that a vector is
-listed under LISTED filters on average.
+so that a filter holds about LOAD of them.  The threshold lists a vector under LISTED filters a
+rotation on average; it comes from the tail of the scores of unit vectors, not from a normal one.
+The more directions, the rarer it is that one rotation lists two near vectors together, so the number
+of rotations grows too: as many as keep the share of pairs of cosine 0.95 without a common filter
+at MISSED, for every number of vectors.
 
 Equal vectors are one class and enter once.  A filter gives stars of the linked parts, not pairs;
 the components of the stars follow.  Then, inside each component, all classes are compared exactly
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,46 +37,101 @@ from .bpe import _ranges
 from .common import deal, save, ship, sorted_groups, table
 from .graph import components
 
-CODES = 32
-LISTED = 24
+LISTED = 0.75
+MISSED = 2e-4
 LOAD = 40
+#: Pairs and rotations by which the share of pairs that a rotation lists together is measured.
+TRIALS = (256, 24)
 CELL = 4096
 SEED = 20_240_229
 
 
 def code_size(n: int) -> int:
     """Directions a half, so that a filter holds LOAD of n vectors on average; 32 at least."""
-    return max(32, math.ceil(math.sqrt(max(n, 1) * LISTED / (CODES * LOAD))))
+    return max(32, math.ceil(math.sqrt(max(n, 1) * LISTED / LOAD)))
+
+
+def score_limit(half: int, share: float) -> float:
+    """The score that a random unit vector of two halves exceeds for this share of the filters.
+
+    A score is r s + sqrt(1 - r^2) t: r is the length of the first half (r^2 has a beta
+    distribution), s and t are cosines of random directions of ``half`` dimensions.
+    """
+    angle = (np.arange(256) + 0.5) * (math.pi / 512)
+    r, weight = np.cos(angle), (np.cos(angle) * np.sin(angle)) ** (half - 1)
+    weight /= weight.sum()
+    t = np.linspace(-1, 1, 2001)
+    mid = (t[1:] + t[:-1]) / 2
+    p = (1 - mid**2) ** ((half - 3) / 2)
+    p /= p.sum()
+    tail = np.concatenate((np.cumsum(p[::-1])[::-1], [0.0]))
+    low, high = 0.0, math.sqrt(2)
+    for _ in range(40):
+        limit = (low + high) / 2
+        above = np.interp((limit - r[:, None] * mid) / np.sqrt(1 - r**2)[:, None], t, tail)
+        low, high = (limit, high) if weight @ (above @ p) > share else (low, limit)
+    return (low + high) / 2
+
+
+@lru_cache(maxsize=64)
+def plan(width: int, k: int) -> tuple[float, int]:
+    """Threshold and number of rotations for vectors of ``width`` components and k directions a half."""
+    limit, half = score_limit(width // 2, LISTED / (k * k)), width // 2
+    rng = np.random.default_rng([SEED, width, k])
+    pairs, turns = TRIALS
+    shared = 0
+    for _ in range(turns):
+        x, z = _unit(rng.standard_normal((pairs, width))), rng.standard_normal((pairs, width))
+        y = 0.95 * x + math.sqrt(1 - 0.95**2) * _unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+        sets = _directions(rng, half, k)
+        rows = []
+        for v in (x, y):
+            row, found = _exceed(v[:, :half] @ sets[0], v[:, half:] @ sets[1], limit)
+            rows.append(row * (k * k) + found)
+        shared += len(np.unique(np.intersect1d(*rows) // (k * k)))
+    share = (shared - 2 * math.sqrt(shared)) / (pairs * turns)  # two standard errors on the safe side
+    if share <= 0:
+        raise ValueError(f"no filters for {width} components and {k} directions")
+    return limit, math.ceil(math.log(MISSED) / math.log1p(-share))
+
+
+def _directions(rng: np.random.Generator, half: int, k: int) -> np.ndarray:
+    sets = rng.standard_normal((2, half, k))
+    return sets / np.linalg.norm(sets, axis=1, keepdims=True)
+
+
+def _exceed(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, pair of directions) whose scores ``a`` and ``b`` add up to ``limit``: list decoding of the two halves."""
+    va, ka = np.nonzero(a >= limit - b.max(axis=1)[:, None])
+    vb, kb = np.nonzero(b >= limit - a.max(axis=1)[:, None])
+    first = np.searchsorted(vb, va)
+    n = np.searchsorted(vb, va, side="right") - first
+    ia, ib = np.repeat(np.arange(len(va)), n), _ranges(first, n)
+    ok = a[va[ia], ka[ia]] + b[vb[ib], kb[ib]] >= limit
+    return va[ia[ok]], ka[ia[ok]] * a.shape[1] + kb[ib[ok]]
 
 
 class ProductCode:
-    """CODES rotations, and for each two sets of K directions, for vectors of one length."""
+    """Rotations, and for each two sets of K directions, for vectors of one length."""
 
     def __init__(self, dim: int, k: int) -> None:
         self.dim, self.k, self.width = dim, k, max(32, dim + dim % 2)
-        self.limit = NormalDist().inv_cdf(1 - LISTED / (CODES * k * k)) / math.sqrt(self.width) * math.sqrt(2)
+        self.limit, n = plan(self.width, k)
         rng = np.random.default_rng([SEED, dim, k])
         self.codes = []
-        for _ in range(CODES):
+        for _ in range(n):
             turn, _ = np.linalg.qr(rng.standard_normal((self.width, self.width)))
-            sets = rng.standard_normal((2, self.width // 2, k))
-            self.codes.append((turn[:dim], sets / np.linalg.norm(sets, axis=1, keepdims=True)))
+            self.codes.append((turn[:dim], _directions(rng, self.width // 2, k)))
 
     def filters(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) for all filters that the unit vectors ``x`` exceed: list decoding of the two halves."""
+        """(row, filter) for all filters that the unit vectors ``x`` exceed."""
         rows, found = [], []
         h = self.width // 2
         for c, (turn, sets) in enumerate(self.codes):
             y = x @ turn
-            a, b = y[:, :h] @ sets[0], y[:, h:] @ sets[1]
-            va, ka = np.nonzero(a >= self.limit - b.max(axis=1)[:, None])
-            vb, kb = np.nonzero(b >= self.limit - a.max(axis=1)[:, None])
-            first = np.searchsorted(vb, va)
-            n = np.searchsorted(vb, va, side="right") - first
-            ia, ib = np.repeat(np.arange(len(va)), n), _ranges(first, n)
-            ok = a[va[ia], ka[ia]] + b[vb[ib], kb[ib]] >= self.limit
-            rows.append(va[ia[ok]])
-            found.append((c * self.k + ka[ia[ok]]) * self.k + kb[ib[ok]])
+            row, pair = _exceed(y[:, :h] @ sets[0], y[:, h:] @ sets[1], self.limit)
+            rows.append(row)
+            found.append(c * self.k * self.k + pair)
         return np.concatenate(rows), np.concatenate(found)
 
 

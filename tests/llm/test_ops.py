@@ -160,6 +160,18 @@ def test_embeddings(spark, monkeypatch, cell):
     assert got[251].component_id == 250 and not got[251].kept
 
 
+@pytest.mark.parametrize("k", [32, 100, 300])
+def test_lone_pairs_share_a_filter(k):
+    rng = np.random.default_rng(6)
+    x, z = embeddings._unit(rng.standard_normal((3000, 64))), rng.standard_normal((3000, 64))
+    y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * embeddings._unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+    code = embeddings.ProductCode(64, k)
+    (ra, fa), (rb, fb) = code.filters(x), code.filters(y)
+    a, b = ra * 10**9 + fa, rb * 10**9 + fb
+    assert len(np.unique(np.intersect1d(a, b) // 10**9)) >= 2997
+    assert abs(len(ra) / 3000 / len(code.codes) / embeddings.LISTED - 1) < 0.15
+
+
 def test_mixing(docs, empty):
     rows = mixing.measured(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
     from pyspark.sql import functions as F
