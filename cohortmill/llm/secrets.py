@@ -2,14 +2,16 @@
 
 Native: only DataFrame functions run over the rows.  Two first-order Markov models of characters,
 one of random strings and one of ordinary identifiers, are trained from labelled samples by a
-grouped count.  A long token without white space is a secret if the log-likelihood ratio of the two
-models, averaged over its transitions, is at least LEAST_RATIO.
+grouped count.  In a long token without white space the stretches are sought over which the
+log-likelihood ratio of the two models adds up to LEAST_SUM and is LEAST_RATIO a transition or more,
+so a name that a secret is glued to does not outweigh it.  A stretch ends where the sum falls by DROP
+from its peak, and is widened to the next of = / _ - on both sides; what is widened is named.
 
 Spans are code points, end exclusive.  A pattern's places follow from the lengths of the matches and
 of what lies between them, since Spark gives the matches of a pattern but not their places.
 
-Edge cases: null and empty texts hold nothing; a token inside a span of a pattern is not named
-again; repeated rows give repeated rows; an empty table gives no rows.
+Edge cases: null and empty texts hold nothing; spans of a pattern are cut out of a token before its
+rest is scored; repeated rows give repeated rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ HEX = r"[0-9a-f]{24,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 LEAST_RATIO = 0.5
+LEAST_SUM = 9.5
+DROP = 8.0
+#: Characters between the parts of a token; a part that begins a stretch must reach LEAST_SUM, and = ends one.
+PARTS = "=/_-"
 KINDS = ("assign", "access", "hex", "random")
 EMPTY = "array<struct<start:int,kind:int,end:int,token:string>>"
 #: Words of the ordinary samples.
@@ -101,25 +107,73 @@ def _spans(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as {EMPTY})"))
 
 
-def _ratio(token: Column, ratios: list[float]) -> Column:
-    """Mean log-likelihood ratio of a token's transitions."""
+def _stretches(token: Column, ratios: list[float]) -> Column:
+    """Structs at and to (from 0, end exclusive) of the random stretches of a token, in order and apart."""
     known = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     n = F.length(token)
+    none = F.expr("cast(array() as array<struct<at:int,to:int>>)")
 
     def place(k: Column) -> Column:
         return F.instr(F.lit(ALPHABET), F.substr(token, k, F.lit(1)))
 
-    total = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda acc, k: acc + F.element_at(known, (place(k) - 1) * len(ALPHABET) + place(k + 1)))
-    return total / (n - 1)
+    def closed(acc: Column) -> Column:
+        good = (acc["best"] >= LEAST_SUM) & (acc["best"] >= LEAST_RATIO * (acc["to"] - acc["at"]))
+        return F.when(good, F.concat(acc["found"], F.array(F.struct(acc["at"].alias("at"), acc["to"].alias("to"))))).otherwise(acc["found"])
+
+    def state(total: Column, at: Column, best: Column, to: Column, found: Column) -> Column:
+        return F.struct(total.alias("total"), at.alias("at"), best.alias("best"), to.alias("to"), found.alias("found"))
+
+    def step(acc: Column, k: Column) -> Column:
+        parts, after = F.substr(token, k, F.lit(1)).isin(*PARTS), F.substr(token, k + 1, F.lit(1))
+        total = acc["total"] + F.when(parts, 0.0).otherwise(F.element_at(known, (place(k) - 1) * len(ALPHABET) + place(k + 1)))
+        more = (total > acc["best"]) & ~after.isin(*PARTS)
+        end = (total <= 0) | (acc["best"] - total > DROP)
+        zero = F.lit(0.0)
+        name = (after == "=") | (after.isin(*PARTS) & (acc["best"] < LEAST_SUM))  # what lies before was a name
+        return F.when(name, state(zero, k + 2, zero, k + 2, closed(acc))).when(end, state(zero, k + 1, zero, k + 1, closed(acc))).otherwise(state(total, acc["at"], F.when(more, total).otherwise(acc["best"]), F.when(more, k + 1).otherwise(acc["to"]), acc["found"]))
+
+    found = F.aggregate(F.sequence(F.lit(1), n - 1), state(F.lit(0.0), F.lit(1), F.lit(0.0), F.lit(1), none), step, closed)
+
+    def widened(x: Column) -> Column:
+        before = F.length(F.regexp_extract(F.substr(token, F.lit(1), x["at"] - 1), r"[A-Za-z0-9+]*$", 0))
+        after = F.length(F.regexp_extract(F.substr(token, x["to"] + 1, n), r"^[A-Za-z0-9+]*(?:={1,2}$)?", 0))
+        return F.struct((x["at"] - 1 - before).alias("at"), (x["to"] + after).alias("to"))
+
+    def joined(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        one = F.array(F.struct(last["at"].alias("at"), F.greatest(last["to"], x["to"]).alias("to")))
+        meets = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["to"] > x["at"])
+        return F.when(meets, F.concat(F.slice(acc, 1, F.size(acc) - 1), one)).otherwise(F.concat(acc, F.array(x)))
+
+    apart = F.aggregate(F.transform(found, widened), none, joined)
+    mean = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda acc, k: acc + F.element_at(known, (place(k) - 1) * len(ALPHABET) + place(k + 1))) / (n - 1)
+    # a token of many short parts can be random as a whole only
+    return F.when(F.size(apart) > 0, apart).when(mean >= LEAST_RATIO, F.array(F.struct(F.lit(0).alias("at"), n.alias("to")))).otherwise(none)
+
+
+def _without(text: Column, spans: Column) -> Column:
+    """``text`` with the characters of the sorted ``spans`` turned to spaces, so that places stay."""
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["t"], gap, blank).alias("t"))
+
+    cut = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("t")), step, lambda acc: F.concat(acc["t"], F.substr(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, cut).otherwise(text)
 
 
 def scan(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
     """``docs`` with the columns __base and __all: arrays of (start, kind, end, token), sorted by start and kind."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = F.array_sort(F.concat(_spans(t, ASSIGN, "assign", ASSIGN_LEAST), _spans(t, ACCESS, "access"), _spans(t, HEX, "hex")))
-    df = docs.withColumn("__base", base).withColumn("__long", _spans(t, TOKEN, "random"))
-    free = F.filter("__long", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (_ratio(s["token"], ratios) >= LEAST_RATIO))
-    return df.withColumn("__all", F.when(F.size("__long") > 0, F.array_sort(F.concat("__base", free))).otherwise(F.col("__base"))).drop("__long")
+    df = docs.withColumn("__base", base).withColumn("__rest", _without(t, F.col("__base"))).withColumn("__long", _spans(F.col("__rest"), TOKEN, "random"))
+
+    def named(s: Column) -> Column:
+        return F.transform(_stretches(s["token"], ratios), lambda x: F.struct((s["start"] + x["at"]).alias("start"), s["kind"].alias("kind"), (s["start"] + x["to"]).alias("end"), F.substr(s["token"], x["at"] + 1, x["to"] - x["at"]).alias("token")))
+
+    free = F.flatten(F.transform("__long", named))
+    return df.withColumn("__all", F.when(F.size("__long") > 0, F.array_sort(F.concat("__base", free))).otherwise(F.col("__base"))).drop("__long", "__rest")
 
 
 def _listed(spans: Column) -> Column:

@@ -207,6 +207,22 @@ def test_secrets(docs, empty, spark):
     assert secrets.scan(empty, ratios).count() == 0
 
 
+def test_secrets_glued_to_names(spark):
+    rng = np.random.default_rng(12)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    rows = []
+    for i in range(150):
+        value = "".join(rng.choice(letters, 24 if i % 3 else 20))
+        name = ["SIGNING_MATERIAL_FOR_SERVICE=", "encryption_master_key=", "/hooks/services/incoming/"][i % 3]
+        rows.append((i, f"deadbeef{'0f' * 8}/ set {name}{value} now", len(f"deadbeef{'0f' * 8}/ set {name}"), len(value)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, at int, n int")
+    got = secrets.scan(df, secrets.train(secrets.samples(spark))).collect()
+    found = [(r["at"], r["at"] + r.n) in [(s["start"], s["end"]) for s in r["__all"] if s["kind"] == 3] for r in got]
+    assert sum(found) >= 147
+    plain = spark.createDataFrame([(1, "user_account_name_value_index/create_update_delete-read_write_open"), (2, "secret=abcdef123/" + "Zk3vQ9xLm2Tp8WcR5bYh7NdF")], "doc_id long, text string")
+    assert [[s["kind"] for s in r["__all"]] for r in secrets.scan(plain, secrets.train(secrets.samples(spark))).orderBy("doc_id").collect()] == [[], [0]]
+
+
 def test_licences(docs, empty, spark):
     lines = spark.createDataFrame([(1, "x y z\nReleased under the MIT License.\nend"), (2, licences.TEMPLATES["mit"]), (3, None)], "doc_id long, text string")
     got = {(r.doc_id, r.unit, r.ord, r.template): r.dice for r in licences.matches(lines).collect()}
