@@ -49,12 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
+def save(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: computed once, and lost executors do not matter."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _written.append(path)
     return spark.read.schema(schema).parquet(path)
 

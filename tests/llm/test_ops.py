@@ -247,15 +247,56 @@ def test_pages_in_articles(spark):
     assert got["http://other.com/"].endswith("friends today")
 
 
-def test_pages_large_host(spark, monkeypatch):
-    monkeypatch.setattr(pages, "CHUNK", 10)
+@pytest.mark.parametrize("limits", [(12_000_000, 4_000_000), (500, 4_000_000), (500, -1)])
+def test_pages_large_host(spark, monkeypatch, limits):
+    monkeypatch.setattr(pages, "HELD", limits[0])
+    monkeypatch.setattr(pages, "BROADCAST_RUNS", limits[1])
     page = "<div><p>A story of its own with number %d in it</p>%s</div>"
     note = {7: "<p>Rare notice of three pages only here</p>", 40: "<p>Found on two pages and kept there</p>"}
     has = {3: 7, 55: 7, 117: 7, 20: 40, 90: 40}
     rows = [(i, f"http://h.com/{i}", page % (i, note.get(has.get(i), ""))) for i in range(120)]
-    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    rows += [(200 + i, "http://h.com/same", page % (777, "<p>A copied page is not its own witness here</p>")) for i in range(9)] + [(300, None, None)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert len(got) == 130 and got[300] == ""
     assert all("Rare" not in got[i] for i in range(120)) and [i for i in range(120) if "kept there" in got[i]] == [20, 90]
     assert all(got[i].startswith(f"A story of its own with number {i} in it") for i in range(120))
+    assert all(got[200 + i].endswith("witness here") for i in range(9))
+
+
+def test_pages_near_copies_and_empty_table(spark):
+    text = ["First paragraph of the copied article stands here", "Second paragraph of it with some more words", "Third one and the end"]
+    page = "<article>%s</article>"
+    rows = [(i, "http://h.com/x", page % "".join(f"<p>{t}</p>" for t in [*text, f"edited {i}"])) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
+    assert all(got[i] == "\n".join([*text, f"edited {i}"]) for i in range(6))
+    assert pages.main_text(df.limit(0)).collect() == []
+
+
+def test_covered_is_substring_counting():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        host = [[" ".join(rng.choice(list("abc"), rng.integers(1, 9))) for _ in range(rng.integers(1, 4))] for _ in range(int(rng.integers(3, 9)))]
+        streams = [" ".join("| " + b for b in p).split() + ["|"] for p in host]
+        windows = [{tuple(s[i : i + pages.RUN]) for i in range(len(s) - pages.RUN + 1)} for s in streams]
+        found = pages.Suffixes(host)
+        runs, n = found.runs("h")
+        assert len(set(runs.tolist())) == len(runs) == len(set().union(*windows)) and sorted(n.tolist()) == sorted(sum(w in x for x in windows) for w in set().union(*windows))
+        for s, marks in zip(streams, found.covered(), strict=True):
+            inside = [False] * len(s)
+            for i in range(len(s) - pages.RUN + 1):
+                if sum(tuple(s[i : i + pages.RUN]) in w for w in windows) >= pages.PAGES:
+                    inside[i : i + pages.RUN] = [True] * pages.RUN
+            want, k = [], -1
+            for token, x in zip(s[:-1], inside, strict=False):
+                if token == "|":
+                    want.append(True)
+                    k += 1
+                else:
+                    want[k] &= x
+            assert marks == want
+    runs = np.unique(rng.integers(0, 1 << pages.BITS, 1000).astype(np.uint64))
+    assert (pages.unpack(pages.pack(runs)) == runs).all()
 
 
 def test_toxicity(spark, empty):
