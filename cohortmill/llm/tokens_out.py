@@ -1,8 +1,10 @@
 """Token ids in files, compressed by a grammar per shard (Re-Pair).
 
-A shard is a run of documents in ascending doc_id order.  Its ids are compressed by replacing
-frequent pairs of neighbouring ids by new symbols, again and again; pairs never reach across two
-documents, so every document stays a run of symbols of its own and can be decoded alone.
+Texts are encoded where they are read, and only their ids (two bytes each) are sorted by doc_id.  A
+shard is a run of documents in ascending doc_id order.  Its ids are compressed by replacing frequent
+pairs of neighbouring ids by new symbols, again and again until no pair stands LEAST times in the
+shard or the symbols run out; pairs never reach across two documents, so every document stays a run
+of symbols of its own and can be decoded alone.
 
 A file row holds one shard, in this format (little endian):
 
@@ -14,7 +16,8 @@ A file row holds one shard, in this format (little endian):
     u16    N x symbol
 
 Edge cases: null and empty texts hold the end id alone; rows with a null doc_id come first; rows
-that share a doc_id are ordered by text; an empty table gives no rows.
+that share a doc_id are ordered by a hash of their ids, and by the ids (so a doc_id that many rows
+share is dealt to several shards too); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,12 +35,14 @@ from .bpe import _ranges, encoder, sliced, vocabulary
 from .common import save, ship, table
 
 MAGIC = b"RPG1"
-#: Ids of a shard; the last document may go beyond.
+#: Ids of a shard, about; a range that holds more than twice as many gives several shards.
 SHARD_IDS = 1_500_000
-#: A pair is replaced if it stands this often in its shard.
+#: A pair is replaced if it stands this often in its shard; a rule takes as much room as four symbols.
 LEAST = 24
-#: Rounds at most; each replaces all pairs that are frequent at its start.
-ROUNDS = 5
+#: Rounds without a frequent pair, each with slots of its own, after which a shard is done.
+TURNS = 2
+#: Odd multipliers that place the pairs in the slots, one round after the other.
+_TURNS = np.array([pow(0x9E3779B1, 2 * k + 1, 1 << 32) for k in range(8)], np.uint32)
 #: Slots of the pair counter.
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
@@ -51,13 +56,13 @@ def compress(ids: np.ndarray, counts: np.ndarray, first_new: int) -> bytes:
     rules: list[np.ndarray] = []
     made, room, none = 0, 65536 - first_new, np.int32(1 << 30)
     owner = np.zeros(SLOTS + 1, np.uint32)
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or made >= room:
-            break
+    idle, turn = 0, 0
+    while len(seq) >= 2 and made < room and idle < TURNS:
         # exact counts without a sort: each slot counts the one pair that owns it, and a pair whose
-        # slot another one owns waits for a later round
+        # slot another one owns waits for the next round, whose slots are others
         keys = (seq[:-1] << np.uint32(16)) | seq[1:]
-        slot = ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)).astype(np.int32)
+        slot = ((keys * _TURNS[turn % len(_TURNS)]) >> np.uint32(32 - SLOT_BITS)).astype(np.int32)
+        turn += 1
         slot[last[:-1]] = SLOTS
         owner[slot] = keys
         slot[owner[slot] != keys] = SLOTS
@@ -66,7 +71,9 @@ def compress(ids: np.ndarray, counts: np.ndarray, first_new: int) -> bytes:
         good = np.flatnonzero(n >= LEAST)
         good = good[np.argsort(-n[good], kind="stable")][: room - made]
         if not len(good):
-            break
+            idle += 1
+            continue
+        idle = 0
         # of two pairs that overlap the more frequent one goes first: an occurrence stays if its
         # rank is at least as good as its neighbours'; in a run of one pair, every second one stays
         rank = np.full(SLOTS + 1, none, np.int32)
@@ -143,42 +150,59 @@ class Shard:
         return self.flat[_ranges(self.at[seq], self.len[seq])]
 
 
+def encoded(docs: DataFrame, path: str | None = None, end_id: int = 0) -> DataFrame:
+    """doc_id, n and ids (two bytes each, little endian, the end id last) of every row.  A map over the rows."""
+    vocab = path or vocabulary()
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocab)
+        if enc.size > 1 << 16:
+            raise ValueError("the format holds vocabularies of up to 65,536 ids")
+        for whole in batches:
+            for b in sliced(whole, 1):
+                got = [np.append(ids, np.uint32(end_id)).astype("<u2") for ids in enc.encode(b.column(1).to_pylist())]
+                cols = [b.column(0), pa.array([len(x) for x in got], pa.int32()), pa.array([x.tobytes() for x in got], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n int, ids binary")
+
+
 def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 0) -> DataFrame:
     """Encode every text, append ``end_id``, and write the shards in ascending doc_id order.
 
-    One shuffle: a range partition of the rows by doc_id.  Returns the written table: part
-    (number of the range), seq (of the shard in it), n_ids, doc_ids, data.
+    One shuffle, of ids: a range partition of the rows by doc_id, into ranges of about one shard.
+    Returns the written table: part (number of the range), seq (of the shard in it), n_ids,
+    doc_ids, data.
     """
     vocab = path or vocabulary()
-    spark = ship(docs.sparkSession)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = save(encoded(docs, vocab, end_id), "ids")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc()]
+    ranged = rows.repartitionByRange(max(1, -(-total // SHARD_IDS)), *order).sortWithinPartitions(*order, "ids").select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, seq = encoder(vocab), TaskContext.get().partitionId(), 0
-        if enc.size > 1 << 16:
-            raise ValueError("the format holds vocabularies of up to 65,536 ids")
+        first_new, part, seq = encoder(vocab).size, TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
-        got: list[np.ndarray] = []
+        got: list[bytes] = []
         held = 0
 
         def shard() -> pa.RecordBatch:
-            counts = np.fromiter(map(len, got), np.int64, len(got))
-            data = compress(np.concatenate(got), counts, enc.size)
+            counts = np.fromiter(map(len, got), np.int64, len(got)) // 2
+            data = compress(np.frombuffer(b"".join(got), "<u2"), counts, first_new)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(counts.sum())], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["part", "seq", "n_ids", "doc_ids", "data"])
 
-        for whole in batches:
-            for b in sliced(whole, 1):
-                for key, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
-                    keys.append(key)
-                    got.append(np.append(ids, np.uint32(end_id)))
-                    held += len(got[-1])
-                    if held >= SHARD_IDS:
-                        yield shard()
-                        keys, got, held, seq = [], [], 0, seq + 1
+        for b in batches:
+            for key, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                keys.append(key)
+                got.append(ids)
+                held += len(ids) // 2
+                if held >= 2 * SHARD_IDS:
+                    yield shard()
+                    keys, got, held, seq = [], [], 0, seq + 1
         if got:
             yield shard()
 

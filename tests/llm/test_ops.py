@@ -58,11 +58,21 @@ def test_token_files(docs, empty, tokenizer):
     for r in sorted(tokens_out.read_shards(tokens_out.write_shards(rows)).collect(), key=lambda r: r.doc_id):
         ids = [*tokenizer.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids, 0]
         assert (r.start, r.n_tokens, list(r.ids)) == (start, len(ids), ids)
-        assert zlib.crc32(np.array(ids, "<u4").tobytes()) >= 0
         start += len(ids)
     assert tokens_out.read_shards(tokens_out.write_shards(empty)).count() == 0
 
 
+def test_token_query(spark, tmp_path, docs, tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens_out, "SHARD_IDS", 40)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = tokens_out.op9_token_output(spark, str(tmp_path)).collect()
+    want = sorted((tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0] for r in docs.collect()), key=len)
+    assert sorted(r.ids_crc32 for r in got) == sorted(zlib.crc32(np.array(x, "<u4").tobytes()) for x in want)
+    rows = sorted(got, key=lambda r: r.start)  # null ids first, then ascending; nothing lies between
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(len(rows))]
+    assert [r.doc_id for r in rows] == [None, 0, 1, 2, 3, 3, *range(4, len(TEXTS))]
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(2)
     for n in (1, 2, 500, 20_000):
