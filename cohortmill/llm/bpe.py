@@ -8,8 +8,7 @@ A cut is made in front of white space that follows another character (the pair t
 merge there, which is checked when the vocabulary is loaded, and the pre-splitting rule of the
 tokenizer cuts there too), and inside a run of non-space at every forbidden pair of ASCII
 characters which the pre-splitting rule treats alike on both sides.  The fragments of a batch are
-hashed, equal ones are encoded once (by the tokenizers library, which is given fragments instead of
-whole texts), and a bounded dictionary keeps them for the next batch.  The
+hashed, equal ones are encoded once, and a bounded dictionary keeps them for the next batch.  The
 ids of a batch are decoded again and compared with its bytes, so a hash shared by two fragments
 cannot go unnoticed; such a text is encoded whole.
 
@@ -21,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterator
 
@@ -34,6 +32,8 @@ from .common import ship, table
 
 #: Fragments kept in a worker's dictionary; beyond that it starts anew.
 KEPT = 400_000
+#: Pre-splitting rule of the byte-level tokenizer (fixed value).
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -47,9 +47,8 @@ class ForcedBpe:
     """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker is one of many on its machine
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["normalizer"] is not None or spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
@@ -63,9 +62,11 @@ class ForcedBpe:
         for text, i in self.special.items():
             self.bytes[i] = text.encode()
         self.text = [str(i) for i in range(self.size)]
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        made = [vocab[a + b] for a, b in merges]
+        if any(x >= y for x, y in zip(made, made[1:], strict=False)):
+            raise ValueError(f"{path}: merge order and id order differ")
+        self.core = tiktoken.Encoding("own", pat_str=RULE, mergeable_ranks={b: i for i, b in raw.items()}, special_tokens={})._core_bpe.encode_ordinary
         inside = np.zeros((256, 256), bool)
         for b in raw.values():
             x = np.frombuffer(b, np.uint8)
@@ -85,10 +86,6 @@ class ForcedBpe:
         self.flat_bytes = np.frombuffer(b"".join(self.bytes), np.uint8)
         self._fresh()
 
-    def core(self, texts: list[str]) -> list[list[int]]:
-        """The library's ids of each of the ``texts``."""
-        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
     def _fresh(self) -> None:
         self.known: dict[int, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
@@ -141,7 +138,7 @@ class ForcedBpe:
         last = np.searchsorted(cut, begins + sizes)
         out = [ids[total[i] : total[j]] for i, j in zip(first.tolist(), last.tolist(), strict=True)]
         if self.decoded(ids) != data:  # two fragments of one hash: encode the texts concerned whole
-            out = [x if self.decoded(x) == t else np.array(self.core([t.decode()])[0], np.uint32) for x, t in zip(out, raw, strict=True)]
+            out = [x if self.decoded(x) == t else np.array(self.core(t.decode()), np.uint32) for x, t in zip(out, raw, strict=True)]
         return out
 
     def _fragments(self, data: bytes, b: np.ndarray, cut: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,16 +149,20 @@ class ForcedBpe:
             back = _powers(pow(int(base), -1, 1 << 64), n + 1)
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hash_of[b] * power[:n], dtype=np.uint64)))
             key = (sums[ends] - sums[cut]) * back[cut]
-        keys, example, inverse = np.unique(key, return_index=True, return_inverse=True)
+        # distinct keys in the order they come, by hashing rather than by a sort
+        coded = pa.array(key.view(np.int64)).dictionary_encode()
+        keys, inverse = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        example = np.empty(len(keys), np.int64)
+        example[inverse[::-1]] = np.arange(len(key) - 1, -1, -1)
         if len(self.known) + len(keys) > KEPT:
             self._fresh()
         if len(self.known) + len(keys) > len(self.at):
             self.at, self.len = (np.concatenate((x, np.zeros(len(keys) + len(x), np.int64))) for x in (self.at, self.len))
-        known = self.known
+        known, core = self.known, self.core
         where = list(map(known.get, keys.tolist()))
         new = [i for i, x in enumerate(where) if x is None]
         if new:
-            got = self.core([data[s:e].decode() for s, e in zip(cut[example[new]].tolist(), ends[example[new]].tolist(), strict=True)])
+            got = [core(data[s:e].decode()) for s, e in zip(cut[example[new]].tolist(), ends[example[new]].tolist(), strict=True)]
             lens = np.fromiter(map(len, got), np.int64, len(got))
             flat = np.fromiter((x for g in got for x in g), np.uint32, int(lens.sum()))
             while self.used + len(flat) > len(self.flat):

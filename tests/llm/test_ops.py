@@ -64,6 +64,7 @@ def test_token_files(docs, empty, tokenizer):
 
 def test_token_query(spark, tmp_path, docs, tokenizer, monkeypatch):
     monkeypatch.setattr(tokens_out, "SHARD_IDS", 40)
+    monkeypatch.setattr(tokens_out, "RANGE_BYTES", 700)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = tokens_out.op9_token_output(spark, str(tmp_path)).collect()
     want = sorted((tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0] for r in docs.collect()), key=len)
