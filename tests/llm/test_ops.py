@@ -321,7 +321,9 @@ def test_toxicity(spark, empty):
         rows.append((i, " ".join(t), "en", "s"))
         labels.append((i, int(i % 4 == 0)))
     df, known = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    got = {r.doc_id: r["__score"] for r in toxicity.score(df, toxicity.train(df, known)).collect()}
+    out = toxicity.score(df, toxicity.train(df, known)).withColumn("held", toxicity.held_out(toxicity.F.col("doc_id"))).collect()
+    got = {r.doc_id: r["__score"] for r in out}
+    assert {r.doc_id for r in out if r.held} == {i for i in [-1, -2, *range(600)] if zlib.crc32(str(i).encode()) % 3 == 1}
     assert all((got[i] >= toxicity.THRESHOLD) == (i % 4 == 0) for i in range(600)) and got[-1] == got[-2]
     assert toxicity.keep_clean(empty, known).count() == 0
 
