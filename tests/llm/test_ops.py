@@ -235,12 +235,35 @@ def test_secrets_glued_to_names(spark):
 
 
 def test_licences(docs, empty, spark):
-    lines = spark.createDataFrame([(1, "x y z\nReleased under the MIT License.\nend"), (2, licences.TEMPLATES["mit"]), (3, None)], "doc_id long, text string")
-    got = {(r.doc_id, r.unit, r.ord, r.template): r.dice for r in licences.matches(lines).collect()}
-    assert got == {(1, "line", 2, "mit-notice"): 1.0, (2, "line", 1, "mit"): 1.0}
+    mit = licences.TEMPLATES["mit"].split()
+    wrapped = "int f() { return 1; }\n" + "\n".join(" * " + " ".join(mit[i : i + 12]) for i in range(0, len(mit), 12)) + "\nint g();"
+    rows = [
+        (1, "x y z\nReleased under the MIT License.\nend"), (2, licences.TEMPLATES["mit"]), (3, None), (4, wrapped), (5, "licence of software"), (None, "a\nLicensed under CC BY-NC 4.0."),
+        (6, "This work is licensed under the GNU Lesser General Public License, version 3."), (7, "word " * 30_000 + "Licensed under the Apache License, Version 2.0." + " word" * 30_000),
+        (8, "Released under the MIT License. " * 300),
+    ]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, template string, r int")
+    found = licences.matches(df).collect()
+    got = {(r.doc_id, r.template, r.word): r.dice for r in found if r.doc_id != 8}
+    assert got.pop((4, "mit", 5)) == 1.0 and got.pop((4, "mit-grant", 5)) == 1.0
+    assert got == {(1, "mit-released", 4): 1.0, (2, "mit", 1): 1.0, (2, "mit-grant", 1): 1.0, (None, "cc-by-nc-4.0-licensed", 2): 1.0, (6, "lgpl-3.0-licensed", 1): 1.0, (7, "apache-2.0-licensed", 30_001): 1.0}
+    assert sorted(r.word for r in found if r.doc_id == 8) == list(range(1, 1500, 5))
     assert licences.matches(empty).count() == 0
 
 
+def test_licences_are_all_windows():
+    """Every window whose Dice coefficient reaches LEAST has an anchor and shares two thirds of the template."""
+    rng, anchors = np.random.default_rng(7), set(licences.anchors(licences.TEMPLATES))
+    for text in licences.TEMPLATES.values():
+        words, bigrams = licences.words_of(text), set(licences.bigrams_of(text))
+        for _ in range(40):
+            w = [x if rng.random() > 0.12 else "zzz" for x in words]
+            b = set(zip(w, w[1:], strict=False))
+            common = sum(f"{x} {y}" in bigrams for x, y in b)
+            if 2 * common >= licences.LEAST * (len(b) + len(bigrams)):
+                assert anchors & set(w) and 3 * common >= 2 * len(bigrams)
+
+
 def test_pages(spark):
     site = "<html><body><div class='x'>Buy our special offers today only here</div><div><p>%s</p></div><div>All rights reserved.</div></body></html>"
     rows = [(i, f"http://h.com/{i}", site % f"Unique story number {i} about thing {i * 7}") for i in range(30)]
