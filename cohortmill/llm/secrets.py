@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,10 @@ DROP = 8.0
 PARTS = "=/_-"
 KINDS = ("assign", "access", "hex", "random")
 EMPTY = "array<struct<start:int,kind:int,end:int,token:string>>"
+#: Numbers that are added up one after the other; longer lists are cut into blocks, so that the work stays in proportion.
+BLOCK = 256
+#: Number of the first sample that is kept for measuring.
+HELD_OUT = 1_000_000
 #: Words of the ordinary samples.
 WORDS = (
     "user account name value index count total list map set get put create update delete read write open close load save file path "
@@ -55,15 +60,18 @@ WORDS = (
 ).split()
 
 
-def samples(spark: SparkSession, n: int = 2000) -> DataFrame:
-    """Labelled strings (text, random 0 or 1): hashes in several alphabets, and identifiers joined from words in several styles."""
+def samples(spark: SparkSession, n: int = 2000, first: int = 0) -> DataFrame:
+    """Labelled strings (text, random 0 or 1): hashes in several alphabets, and identifiers joined from words in several styles.
+
+    Numbered from ``first``; those from HELD_OUT on are never trained on, and tests measure on them.
+    """
     i = F.col("id")
     h = F.sha2(i.cast("string"), 256)
     b64 = F.base64(F.unhex(h))
     upper = F.upper(F.regexp_replace(b64, "[^A-Za-z0-9]", ""))
     mixed = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("x"), i.cast("string")), 512))), "[^A-Za-z0-9]", "")
     texts = [h, b64, upper, mixed]
-    random = spark.range(n).select(F.element_at(F.array(*texts), (i % len(texts) + 1).cast("int")).alias("text"), F.lit(1).alias("random"))
+    random = spark.range(first, first + n).select(F.element_at(F.array(*texts), (i % len(texts) + 1).cast("int")).alias("text"), F.lit(1).alias("random"))
     words = F.from_json(F.lit(json.dumps(WORDS)), "array<string>")
 
     def word(k: int) -> Column:
@@ -72,7 +80,7 @@ def samples(spark: SparkSession, n: int = 2000) -> DataFrame:
     parts = [word(k) for k in range(4)]
     styles = [F.concat_ws("_", *parts), F.concat_ws("-", *parts), F.concat(*[F.initcap(p) for p in parts]), F.concat(parts[0], *[F.initcap(p) for p in parts[1:]]), F.concat_ws("/", *parts), F.upper(F.concat_ws("_", *parts[:3])), F.concat(*parts), F.concat_ws("_", *parts[:3], (i % 100).cast("string"))]
     styles.append(F.repeat(F.substr(F.lit(ALPHABET), (F.pmod(F.xxhash64(i), F.lit(len(ALPHABET))) + 1).cast("int"), F.lit(1)), F.lit(24)))  # rulers and fillers
-    ordinary = spark.range(n).select(F.element_at(F.array(*styles), (i % len(styles) + 1).cast("int")).alias("text"), F.lit(0).alias("random"))
+    ordinary = spark.range(first, first + n).select(F.element_at(F.array(*styles), (i % len(styles) + 1).cast("int")).alias("text"), F.lit(0).alias("random"))
     return random.union(ordinary)
 
 
@@ -88,33 +96,66 @@ def train(labelled: DataFrame) -> list[float]:
     return out
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column) -> Column:
+    """The sum of all numbers before each one; block by block, for lists of any length."""
+    empty = F.expr("cast(array() as array<int>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def start(at: Column) -> Column:
+        return F.struct(at.alias("at"), empty.alias("out"))
+
+    def body(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(v) - 1) / BLOCK), F.lit(0)).cast("int"))
+        sums = F.transform(blocks, lambda k: F.aggregate(F.slice(v, k * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda acc, x: acc + x))
+        bases = F.aggregate(sums, start(F.lit(0)), step)["out"]
+        return F.flatten(F.transform(bases, lambda base, k: F.aggregate(F.slice(v, k * BLOCK + 1, F.lit(BLOCK)), start(base), step)["out"]))
+
+    return _let(values, body)
+
+
 def _spans(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
     """The matches of ``pattern`` with their places; the second group must have ``least`` characters if given."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else whole
     between = F.transform(F.split(text, pattern, -1), F.length)
-    both = F.arrays_zip(F.transform(whole, F.length).alias("n"), F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("w"), group.alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {EMPTY})").alias("spans"))
+    both = F.arrays_zip(F.transform(whole, F.length).alias("n"), F.slice(between, 1, F.size(whole)).alias("gap"), group.alias("g"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        one = F.struct(at.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (at + x["n"]).alias("end"), x["g"].alias("token"))
-        return F.struct((at + x["n"]).alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
+    def one(x: Column, before: Column) -> Column:
+        at = before + x["gap"]
+        return F.struct(at.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (at + x["n"]).alias("end"), x["g"].alias("token"))
 
-    found = F.aggregate(both, start, step)["spans"]
+    found = _let(both, lambda z: F.zip_with(z, _running(F.transform(z, lambda x: x["n"] + x["gap"])), one))
     if least:
         found = F.filter(found, lambda s: F.length(s["token"]) >= least)
     return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as {EMPTY})"))
 
 
+def _without(text: Column, pattern: str, least: int = 0) -> Column:
+    """``text`` with the matches of ``pattern`` turned to spaces, so that places stay; as _spans finds them."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else whole
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("w"), group.alias("g"))
+
+    def blank(x: Column) -> Column:
+        space = F.repeat(F.lit(" "), F.length(x["w"]))
+        return F.concat(x["gap"], F.coalesce(F.when(F.length(x["g"]) >= least, space).otherwise(x["w"]), F.lit("")))
+
+    return F.when(text.rlike(pattern), F.array_join(F.transform(parts, blank), "")).otherwise(text)
+
+
 def _stretches(token: Column, ratios: list[float]) -> Column:
     """Structs at and to (from 0, end exclusive) of the random stretches of a token, in order and apart."""
     known = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     n = F.length(token)
     none = F.expr("cast(array() as array<struct<at:int,to:int>>)")
-
-    def place(k: Column) -> Column:
-        return F.instr(F.lit(ALPHABET), F.substr(token, k, F.lit(1)))
+    size, zero = len(ALPHABET), F.lit(0.0)
 
     def closed(acc: Column) -> Column:
         good = (acc["best"] >= LEAST_SUM) & (acc["best"] >= LEAST_RATIO * (acc["to"] - acc["at"]))
@@ -123,17 +164,14 @@ def _stretches(token: Column, ratios: list[float]) -> Column:
     def state(total: Column, at: Column, best: Column, to: Column, found: Column) -> Column:
         return F.struct(total.alias("total"), at.alias("at"), best.alias("best"), to.alias("to"), found.alias("found"))
 
-    def step(acc: Column, k: Column) -> Column:
-        parts, after = F.substr(token, k, F.lit(1)).isin(*PARTS), F.substr(token, k + 1, F.lit(1))
-        total = acc["total"] + F.when(parts, 0.0).otherwise(F.element_at(known, (place(k) - 1) * len(ALPHABET) + place(k + 1)))
-        more = (total > acc["best"]) & ~after.isin(*PARTS)
+    def step(acc: Column, x: Column) -> Column:
+        k = x["k"] + 1  # from 1: the transition from character k to k + 1
+        total = acc["total"] + F.when(x["part"], 0.0).otherwise(x["r"])
+        more = (total > acc["best"]) & ~x["ahead"]
         end = (total <= 0) | (acc["best"] - total > DROP)
-        zero = F.lit(0.0)
-        name = (after == "=") | (after.isin(*PARTS) & (acc["best"] < LEAST_SUM))  # what lies before was a name
+        name = x["equals"] | (x["ahead"] & (acc["best"] < LEAST_SUM))  # what lies before was a name
         return F.when(name, state(zero, k + 2, zero, k + 2, closed(acc))).when(end, state(zero, k + 1, zero, k + 1, closed(acc))).otherwise(state(total, acc["at"], F.when(more, total).otherwise(acc["best"]), F.when(more, k + 1).otherwise(acc["to"]), acc["found"]))
 
-    found = F.aggregate(F.sequence(F.lit(1), n - 1), state(F.lit(0.0), F.lit(1), F.lit(0.0), F.lit(1), none), step, closed)
-
     def widened(x: Column) -> Column:
         before = F.length(F.regexp_extract(F.substr(token, F.lit(1), x["at"] - 1), r"[A-Za-z0-9+]*$", 0))
         after = F.length(F.regexp_extract(F.substr(token, x["to"] + 1, n), r"^[A-Za-z0-9+]*(?:={1,2}$)?", 0))
@@ -145,29 +183,34 @@ def _stretches(token: Column, ratios: list[float]) -> Column:
         meets = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["to"] > x["at"])
         return F.when(meets, F.concat(F.slice(acc, 1, F.size(acc) - 1), one)).otherwise(F.concat(acc, F.array(x)))
 
-    apart = F.aggregate(F.transform(found, widened), none, joined)
-    mean = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda acc, k: acc + F.element_at(known, (place(k) - 1) * len(ALPHABET) + place(k + 1))) / (n - 1)
-    # a token of many short parts can be random as a whole only
-    return F.when(F.size(apart) > 0, apart).when(mean >= LEAST_RATIO, F.array(F.struct(F.lit(0).alias("at"), n.alias("to")))).otherwise(none)
+    # characters are listed once: a place in a long string is found only by walking to it
+    places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+
+    def moves(p: Column) -> Column:
+        marks = [ALPHABET.index(c) + 1 for c in PARTS]
 
+        def one(a: Column, b: Column) -> Column:
+            return F.struct(F.element_at(known, (a - 1) * size + b).alias("r"), a.isin(*marks).alias("part"), b.isin(*marks).alias("ahead"), (b == ALPHABET.index("=") + 1).alias("equals"))
 
-def _without(text: Column, spans: Column) -> Column:
-    """``text`` with the characters of the sorted ``spans`` turned to spaces, so that places stay."""
+        pairs = F.zip_with(F.slice(p, 1, n - 1), F.slice(p, 2, n - 1), one)
+        return F.transform(pairs, lambda x, k: F.struct(x["r"].alias("r"), x["part"].alias("part"), x["ahead"].alias("ahead"), x["equals"].alias("equals"), k.alias("k")))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["t"], gap, blank).alias("t"))
+    def body(m: Column) -> Column:
+        found = F.aggregate(m, state(zero, F.lit(1), zero, F.lit(1), none), step, closed)
+        apart = F.aggregate(F.transform(found, widened), none, joined)
+        mean = F.aggregate(m, zero, lambda acc, x: acc + x["r"]) / (n - 1)
+        # a token of many short parts can be random as a whole only
+        return _let(apart, lambda a: F.when(F.size(a) > 0, a).when(mean >= LEAST_RATIO, F.array(F.struct(F.lit(0).alias("at"), n.alias("to")))).otherwise(none))
 
-    cut = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("t")), step, lambda acc: F.concat(acc["t"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, cut).otherwise(text)
+    return _let(places, lambda p: _let(moves(p), body))
 
 
 def scan(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
     """``docs`` with the columns __base and __all: arrays of (start, kind, end, token), sorted by start and kind."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = F.array_sort(F.concat(_spans(t, ASSIGN, "assign", ASSIGN_LEAST), _spans(t, ACCESS, "access"), _spans(t, HEX, "hex")))
-    df = docs.withColumn("__base", base).withColumn("__rest", _without(t, F.col("__base"))).withColumn("__long", _spans(F.col("__rest"), TOKEN, "random"))
+    rest = _without(_without(_without(t, ASSIGN, ASSIGN_LEAST), ACCESS), HEX)
+    df = docs.withColumn("__base", base).withColumn("__rest", F.when(F.size("__base") > 0, rest).otherwise(t)).withColumn("__long", _spans(F.col("__rest"), TOKEN, "random"))
 
     def named(s: Column) -> Column:
         return F.transform(_stretches(s["token"], ratios), lambda x: F.struct((s["start"] + x["at"]).alias("start"), s["kind"].alias("kind"), (s["start"] + x["to"]).alias("end"), F.substr(s["token"], x["at"] + 1, x["to"] - x["at"]).alias("token")))

@@ -218,6 +218,38 @@ def test_secrets(docs, empty, spark):
     assert secrets.scan(empty, ratios).count() == 0
 
 
+def test_secrets_base_spans_as_re(spark):
+    rng = np.random.default_rng(11)
+    bits = ["password=", "API_KEY: ", "token = '", "AKIA", "Z9QX7", "deadbeef01", "0123456789abcdef01234567", "é\U0001f642", " ", "\n", "x", "secret:", "apikey=abc", "ABCDEFGH12345678", "fapi_key=", "-._/+="]
+    texts = ["".join(rng.choice(bits, int(rng.integers(1, 40)))) for _ in range(300)] + [None, "", "a" * 100, " ".join(["deadbeef" * 4] * 700)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, start int, kind int")
+    got = {r.doc_id: [(s["start"], s["kind"], s["end"]) for s in r["__base"]] for r in secrets.scan(df, [0.0] * 67 * 67).collect()}
+    for i, t in enumerate(texts):
+        want = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, t or "") if len(m[2]) >= 6]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 20]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 24]
+        assert got[i] == sorted(want)
+
+
+def test_secrets_on_held_out_samples(spark):
+    ratios = secrets.train(secrets.samples(spark))
+    held = secrets.samples(spark, 800, secrets.HELD_OUT).withColumn("doc_id", secrets.F.monotonically_increasing_id())
+    rows = secrets.scan(held.where("length(text) >= 20").withColumn("text", secrets.F.concat(secrets.F.lit("see "), "text", secrets.F.lit(" here"))), ratios).collect()
+    hit = {y: [bool(r["__all"]) for r in rows if r.random == y] for y in (0, 1)}
+    assert sum(hit[1]) >= 0.98 * len(hit[1]) and sum(hit[0]) <= 0.04 * len(hit[0])  # identifiers of one style, words without a gap, come near
+
+
+def test_secrets_long_text(spark):
+    import time
+
+    text = " ".join(f"{i:032x}" for i in range(1, 24_001)) + " " + "QUJD" * 50_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    ratios = secrets.train(secrets.samples(spark))
+    began = time.time()
+    r = secrets.scan(df, ratios).selectExpr("size(__base) as n", "__base[23999].end as end").first()
+    assert (r.n, r.end) == (24_000, 24_000 * 33 - 1) and time.time() - began < 20
+
+
 def test_secrets_glued_to_names(spark):
     rng = np.random.default_rng(12)
     letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
