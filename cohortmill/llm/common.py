@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,7 +26,8 @@ WORKER = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "8388608", "MALLOC_
 def ship(spark: SparkSession) -> SparkSession:
     """Let the Python workers import this package wherever the session was started, and keep their batches small.
 
-    Batch sizes are set only where the session still has Spark's defaults.
+    Batch sizes are set only where the session still has Spark's defaults; they stay set, since the
+    queries are evaluated after this returns.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", ""):
@@ -40,9 +42,15 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a local session gets one of its own; on a cluster that is an error, since
+    executors could not read a folder of the driver's machine.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cohortmill-")
         spark.conf.set("spark.checkpoint.dir", found)
         _written.append(found)
@@ -104,16 +112,17 @@ def deal(rows: DataFrame, keys: list[str], member: str, most: int) -> DataFrame:
 
     A group within the bound is left alone (part -1).  A larger one is cut into n blocks by the hash
     of ``member``; every block meets every other in a part of its own, to which both are copied, and
-    ``side`` tells the blocks of a part apart (a part of one block compares it with itself).
+    ``side`` tells the blocks of a part apart.  A part of two blocks has an odd number, one of a block
+    with itself an even number.
     """
     n = save(rows.groupBy(*keys).count().where(F.col("count") > most).select(*[F.col(k).alias(f"__{k}") for k in keys], F.ceil(F.col("count") / (most // 2)).cast("int").alias("__n")), "large-groups")
-    alone = [F.lit(-1).alias("part"), F.lit(0).alias("side")]
+    alone = [F.lit(-1).cast("long").alias("part"), F.lit(0).alias("side")]
     if n.isEmpty():
         return rows.select("*", *alone)
     cond = [F.col(k) == F.col(f"__{k}") for k in keys]
     joined = rows.join(n, cond, "left").withColumn("__own", F.pmod(F.xxhash64(member), F.col("__n")).cast("int"))
     parts = joined.where("__n is not null").withColumn("__other", F.explode(F.expr("sequence(0, __n - 1)")))
-    part = F.least("__own", "__other") * F.col("__n") + F.greatest("__own", "__other")
+    part = (F.least("__own", "__other").cast("long") * F.col("__n") + F.greatest("__own", "__other")) * 2 + (F.col("__own") != F.col("__other")).cast("long")
     return joined.where("__n is null").select(*rows.columns, *alone).union(parts.select(*rows.columns, part.alias("part"), F.col("__own").alias("side")))
 
 

@@ -17,8 +17,8 @@ in blocks, so the number of links does not depend on which filters found them.
 components larger than CELL are dealt to several tasks by pairs of blocks.
 
 Edge cases: null and empty vectors, zero vectors, and such with null or non-finite components link
-with nothing; vectors of different length do not link; rows with a null vec_id link through the
-smallest vec_id of equal vectors (null if there is none: such a class takes part in nothing);
+with nothing; vectors of different length do not link; rows with a null vec_id link like any other,
+and a component's id is the smallest vec_id that is not null (null if there is none, and none is kept);
 rows that repeat a vec_id count as vectors of their own; an empty table gives no rows.
 """
 
@@ -43,6 +43,8 @@ LOAD = 40
 #: Pairs and rotations by which the share of pairs that a rotation lists together is measured.
 TRIALS = (256, 24)
 CELL = 4096
+#: Numbers from here on stand for classes of vectors that have no vec_id.
+NAMELESS = 1 << 62
 SEED = 20_240_229
 
 
@@ -135,7 +137,13 @@ class ProductCode:
         return np.concatenate(rows), np.concatenate(found)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by their largest component, by a power of two, so that squares neither overflow nor vanish and no bit is lost."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -144,7 +152,8 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(np.float64) if len(col) else np.zeros((0, 1))
+    """The vectors of one length in double precision, scaled."""
+    return _scaled(col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(np.float64)) if len(col) else np.zeros((0, 1))
 
 
 def _filtered(k: int):
@@ -192,7 +201,7 @@ def _counts(limit: float):
         for (_, _, part), (_, _, _, side, node, n, vector) in sorted_groups(batches, 3):
             x, node, n, side = _matrix(vector), node.to_numpy(), n.to_numpy().astype(np.float64), side.to_numpy()
             sums = np.zeros(len(x))
-            two = part >= 0 and side.min() != side.max()
+            two = part >= 0 and part % 2 == 1
             for i in range(0, len(x), 512):
                 near = _cosine(x[i : i + 512], x) >= limit
                 if two:
@@ -208,13 +217,16 @@ def _counts(limit: float):
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", limit: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors``."""
     ship(vectors.sparkSession)
-    v = F.col(vector).cast("array<double>")
+    # vectors of floats are shipped as such, and compared in double precision
+    kind = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
+    v = F.col(vector).cast(kind)
     usable = F.size(v) > 0
     usable &= ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = save(vectors.select(F.col(key).cast("long").alias("id"), F.when(F.coalesce(usable, F.lit(False)), v).alias("vector")), "vectors")
-    classes = save(rows.where("vector is not null").groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("n")).where("node is not null"), "vector-classes")
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("vector"), F.lit(NAMELESS // 2))
+    classes = save(rows.where("vector is not null").groupBy("vector").agg(F.coalesce(F.min("id"), nameless).alias("node"), F.count("*").alias("n")), "vector-classes")
     k = code_size(classes.count())
-    listed = classes.select("node", "vector").mapInArrow(_filtered(k), "dim int, filter long, node long, vector array<double>")
+    listed = classes.select("node", "vector").mapInArrow(_filtered(k), f"dim int, filter long, node long, vector {kind}")
     dealt = deal(save(listed, "filters"), ["dim", "filter"], "node", CELL)
     order = ["dim", "filter", "part"]
     found = dealt.select("dim", "filter", "part", "node", "vector").repartition(*order).sortWithinPartitions(*order)
@@ -228,7 +240,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     links = blocks.mapInArrow(_counts(limit), "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "l")
     named = member.join(links, F.col("node") == F.col("l"), "left").select(F.col("vector").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("root"))
     out = rows.join(named, F.col("vector") == F.col("v"), "left")
-    component = F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("root"))
+    component = F.when(F.col("v").isNull(), F.col("id")).when(F.col("root") < NAMELESS, F.col("root"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 

@@ -126,7 +126,7 @@ def plan(rows: DataFrame) -> DataFrame:
     cells = cells.select("sk", "size", "n", F.expr("copies div n").alias("base"), (F.col("copies") % F.col("n")).alias("m"), F.ceil(F.col("n") / RANKED).cast("int").alias("parts"))
     cells = save(cells, "copies")
     some = cells.where("m > 0").select(F.col("sk").alias("ck"), F.col("size").alias("cs"), "m", "parts")
-    ranked = rows.join(some, (F.col("sk") == F.col("ck")) & (F.col("size") == F.col("cs"))).select("ck", "cs", "m", _part().alias("part"), _hash().alias("hash"), _id().alias("id"))
+    ranked = rows.join(some, (F.col("sk") == F.col("ck")) & (F.col("size") == F.col("cs"))).select("ck", "cs", "m", _part(_id(F.col("doc_id")), F.col("parts")).alias("part"), _hash(_id(F.col("doc_id"))).alias("hash"), _id(F.col("doc_id")).alias("id"))
     by = Window.partitionBy("ck", "cs").orderBy("part")
     edge = ranked.groupBy("ck", "cs", "m", "part").count().withColumn("upto", F.sum("count").over(by)).where("upto >= m and upto - count < m")
     edge = edge.select(F.col("ck").alias("ek"), F.col("cs").alias("es"), F.col("part").alias("ep"), (F.col("m") - (F.col("upto") - F.col("count"))).alias("need"))
@@ -136,26 +136,33 @@ def plan(rows: DataFrame) -> DataFrame:
     return save(whole.select(F.col("sk").alias("pk"), F.col("size").alias("ps"), "total", "target", "base", "m", "parts", "ep", "eh", "ei"), "plan")
 
 
-def _hash() -> Column:
-    return F.xxhash64(_id())
+def _hash(id: Column) -> Column:
+    return F.xxhash64(id)
 
 
-def _id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))
+def _id(key: Column) -> Column:
+    return F.coalesce(key.cast("long"), F.lit(-(1 << 62)))
 
 
-def _part() -> Column:
-    return F.pmod(F.shiftright(_hash(), 20), F.col("parts"))
+def _part(id: Column, parts: Column) -> Column:
+    return F.pmod(F.shiftright(_hash(id), 20), parts)
 
 
-def with_copies(rows: DataFrame, decided: DataFrame, sk: str = "__sk", size: str = "__size") -> DataFrame:
-    """``rows`` joined with their plan and the column __copies; a plan within BROADCAST_CELLS rows is broadcast."""
+def with_copies(rows: DataFrame, decided: DataFrame, key: str = "doc_id", sk: str = "__sk", size: str = "__size") -> DataFrame:
+    """``rows`` joined with their plan and the columns __total, __target and __copies; a plan within BROADCAST_CELLS rows is broadcast.
+
+    The columns of the plan get names that begin with __plan, so ``rows`` may have any others.
+    """
+    own = {c: f"__plan_{c}" for c in decided.columns}
+    plan_rows = decided.select(*[F.col(c).alias(n) for c, n in own.items()])
     if decided.count() <= BROADCAST_CELLS:
-        decided = F.broadcast(decided)
-    out = rows.join(decided, (F.col(sk) == F.col("pk")) & (F.col(size) == F.col("ps")))
-    part, h, i = _part(), _hash(), _id()
-    more = (F.col("m") > 0) & ((part < F.col("ep")) | ((part == F.col("ep")) & ((h < F.col("eh")) | ((h == F.col("eh")) & (i <= F.col("ei"))))))
-    return out.withColumn("__copies", F.col("base") + more.cast("int"))
+        plan_rows = F.broadcast(plan_rows)
+    out = rows.join(plan_rows, (F.col(sk) == F.col(own["pk"])) & (F.col(size) == F.col(own["ps"])))
+    p = {c: F.col(n) for c, n in own.items()}
+    i = _id(F.col(f"`{key}`"))
+    part, h = _part(i, p["parts"]), _hash(i)
+    more = (p["m"] > 0) & ((part < p["ep"]) | ((part == p["ep"]) & ((h < p["eh"]) | ((h == p["eh"]) & (i <= p["ei"])))))
+    return out.withColumns({"__total": p["total"], "__target": p["target"], "__copies": p["base"] + F.coalesce(more, F.lit(False)).cast("int")})
 
 
 #: Rows of a plan (about 80 bytes each) that are broadcast; beyond that it is joined by a shuffle.
@@ -163,7 +170,10 @@ BROADCAST_CELLS = 50_000
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with every row as often as its rounded rate says."""
+    """``docs`` with every row as often as its rounded rate says; its columns may have any names.
+
+    A table without rows gives none; texts that are null or empty are taken once.
+    """
     rows = measured(docs)
     decided = plan(save(rows.select("doc_id", F.col("__sk").alias("sk"), F.col("__size").alias("size")), "measured"))
     out = with_copies(rows, decided).where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, cast(__copies as int))")))
@@ -173,4 +183,4 @@ def mix(docs: DataFrame) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = save(measured(table(spark, sf_dir, "documents")).select("doc_id", "__sk", "__size"), "measured")
     out = with_copies(rows, plan(rows.select("doc_id", F.col("__sk").alias("sk"), F.col("__size").alias("size"))))
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("total").cast("long").alias("source_size"), F.col("target").cast("double"), (F.col("__copies") * F.col("__size")).cast("long").alias("taken"), F.col("__copies").cast("long").alias("copies"))
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__total").cast("long").alias("source_size"), F.col("__target").cast("double").alias("target"), (F.col("__copies") * F.col("__size")).cast("long").alias("taken"), F.col("__copies").cast("long").alias("copies"))

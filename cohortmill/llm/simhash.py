@@ -5,7 +5,9 @@ bits of every segment, each written in unary (0 -> 00, 1 -> 01, 2 -> 11).  The M
 of two embeddings is then the popcount of their XOR, and never more than the Hamming distance of
 the fingerprints.  So links at distance 3 are sought by a range join under Manhattan distance 3:
 the 32 segments form six blocks, and of two embeddings within 3 at least three blocks are equal.
-For each of the 20 choices of three blocks, embeddings that agree there share a grid cell.  Inside
+For each of the 20 choices of three blocks, embeddings that agree there share a grid cell: cells of
+width one in 20 grids of half the dimensions each, instead of neighbouring cells of one grid in all 32,
+of which there are far more than points.  Inside
 a cell the Manhattan distance is tested first and the Hamming distance verifies what is left.
 
 Distinct fingerprints only enter the grid, once for all their documents.  A cell gives no pairs,
@@ -138,7 +140,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linked = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS]
         a_out, b_out = [node[linked]], [node[linked + 1]]
         for at, n in zip(edges[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            split = side[at : at + n] if p[at] >= 0 and len(np.unique(side[at : at + n])) > 1 else None
+            split = side[at : at + n] if p[at] >= 0 and p[at] % 2 == 1 else None
             a, b = _stars(fp[at : at + n], node[at : at + n], split)
             a_out += a
             b_out += b
@@ -164,7 +166,7 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     cells = fps.where("node is not null").select("fp", "node", F.posexplode(F.array(*[emb.bitwiseAND(F.lit(m)) for m in masks()])).alias("k", "cell"))
     dealt = deal(cells, ["k", "cell"], "fp", CELL)
     ship(fps.sparkSession)
-    spread = dealt.repartition("k", "cell", "part").sortWithinPartitions("k", "cell", "part", "fp").select(F.col("k").cast("int"), F.col("cell").cast("long"), F.col("part").cast("int"), F.col("side").cast("int"), F.col("fp").cast("long"), F.col("node").cast("long"))
+    spread = dealt.repartition("k", "cell", "part").sortWithinPartitions("k", "cell", "part", "fp").select(F.col("k").cast("int"), F.col("cell").cast("long"), F.col("part").cast("long"), F.col("side").cast("int"), F.col("fp").cast("long"), F.col("node").cast("long"))
     return components(spread.mapInArrow(_cells, "a long, b long"))
 
 

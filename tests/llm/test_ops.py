@@ -111,10 +111,32 @@ def test_cuckoo_grows_and_deletes():
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
     for i, k in enumerate(keys):
         live.add(k, i, 1)
-    assert live.rebuilt > 0 and all(live.get(k) == [i, 1] for i, k in enumerate(keys))
-    for k in keys[::2]:
-        live.delete(k)
-    assert all(live.get(k) is None for k in keys[::2]) and all(live.get(k) for k in keys[1::2])
+    assert live.rebuilt > 0 and all(live.get(k) == (i, 1) for i, k in enumerate(keys))
+    assert all(live.delete(k) for k in keys[::2]) and not live.delete(keys[0])
+    assert len(live) == 1500 and all(live.maybe(k) for k in keys[1::2])
+    assert sum(live.maybe(hashlib.sha256(b"x%d" % i).digest()) for i in range(3000)) < 10  # false hits are rare
+    # two keys of one mark and bucket are told apart by their content
+    twin = keys[1][:16] + bytes(16)
+    live.add(twin, 77, 5)
+    again = cuckoo.LiveIndex.from_bytes(live.to_bytes())
+    for x in (live, again):
+        assert all(x.get(k) is None for k in keys[::2]) and all(x.get(k) == (i, 1) for i, k in enumerate(keys) if i % 2) and x.get(twin) == (77, 5)
+    again.add(keys[0], None, 2)
+    assert again.get(keys[0]) == (None, 2) and again.delete(twin) and again.get(keys[1]) == (1, 1)
+
+
+def test_index_outlives_its_session(spark):
+    def rows(pairs):
+        return spark.createDataFrame([(bytearray(hashlib.sha256(t.encode()).digest()), i) for t, i in pairs], "digest binary, doc_id long")
+
+    index = cuckoo.build(rows([("a", 1), ("a", 4), ("b", 2), ("c", None)]))
+    index = cuckoo.delete(cuckoo.insert(index, rows([("b", 9), ("d", 3)])), rows([("a", 0), ("x", 0)]).select("digest"))
+    path = index.inputFiles()[0].rsplit("/", 1)[0]
+    index = spark.read.parquet(path)  # as another session would
+    got = [(r.live, r.keep_id, r.group_size) for t in "abcdx" for r in cuckoo.look_up(index, rows([(t, 0)]).select("digest")).collect()]
+    assert got == [(False, None, None), (True, 9, 2), (True, None, 1), (True, 3, 1), (False, None, None)]
+    again = {bytes(r.digest): (r.keep_id, r.group_size) for r in cuckoo.entries(cuckoo.insert(index, rows([("a", 2)]))).collect()}
+    assert again[hashlib.sha256(b"a").digest()] == (2, 1) and len(again) == 4
 
 
 def brute_fingerprint(t):
@@ -192,10 +214,47 @@ def test_mixing(docs, empty):
     assert len(got) == len(TEXTS)
     for r in got:
         assert r["__size"] == len(re.findall(r"[^\x20\x09-\x0D]+", TEXTS[r.doc_id] or "")) and 0 <= r["__copies"] <= 3
-    assert abs(sum({r["__sk"]: r["target"] for r in got}.values()) - sum(r["__size"] for r in got)) < 1e-6
+    assert abs(sum({r["__sk"]: r["__target"] for r in got}.values()) - sum(r["__size"] for r in got)) < 1e-6
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_multipliers_by_bisection(spark):
+    rng = np.random.default_rng(8)
+    cells = [(f"s{k}", int(size), int(n)) for k in range(7) for size, n in zip(*np.unique(rng.integers(1, 60, 80 * (k + 1) ** 2), return_counts=True), strict=True)]
+    hist = spark.createDataFrame(cells, "sk string, size long, n long")
+    goals = mixing.targets(hist).collect()
+    total = {k: sum(s * n for q, s, n in cells if q == k) for k in {q for q, _, _ in cells}}
+    # targets: by weight, what is above three times the source's words goes to the others
+    left, open_, want = sum(total.values()), {f"s{k}": k % 3 + 1 for k in range(7)}, {}
+    while open_:
+        level = left / sum(open_.values())
+        full = [k for k, w in open_.items() if w * level > 3 * total[k]]
+        for k in full or list(open_):
+            want[k] = min(3 * total[k], open_.pop(k) * level)
+            left -= want[k]
+    assert all(abs(r.target - want[r.sk]) < 1e-6 for r in goals)
+    for r in mixing.multipliers(hist, mixing.targets(hist)).collect():
+        own = np.array([(s, n) for q, s, n in cells if q == r.sk], float)
+        def words(lam):
+            return float((own[:, 0] * own[:, 1] * np.minimum(np.exp(np.minimum(lam * own[:, 0], 5)), 3)).sum())
+        low, high = -50.0, 5.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if words(mid) < want[r.sk] else (low, mid)
+        assert abs(words(r.lam / r.scale) - words(low)) <= 1e-6 * want[r.sk]
+
+
+def test_mix_with_clashing_columns(spark, empty):
+    names = ["total", "m", "parts", "base", "ep", "eh", "ei", "pk", "ps", "target", "size", "sk", "n", "rate", "copies", "hash", "id", "part"]
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 3}", *range(len(names))) for i in range(60)] + [(None, None, None, *range(len(names))), (None, "", "s0", *range(len(names))), (3, "w", "s1", *range(len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    out = mixing.mix(df)
+    got = out.collect()
+    assert out.columns == df.columns and got and all([r[n] for n in names] == list(range(len(names))) for r in got)
+    assert sum(r.doc_id is None and not r.text for r in got) == 2
+    assert mixing.mix(empty).collect() == []
+
+
 def test_mixing_reaches_targets(spark):
     rng = np.random.default_rng(1)
     rows = [(i, "w " * int(rng.lognormal(3, 1)), None, f"s{int(rng.integers(0, 5))}") for i in range(1500)]
@@ -203,7 +262,7 @@ def test_mixing_reaches_targets(spark):
     m = mixing.measured(df)
     from pyspark.sql import functions as F
 
-    got = mixing.with_copies(m, mixing.plan(m.select("doc_id", F.col("__sk").alias("sk"), F.col("__size").alias("size")))).groupBy("__sk").agg(F.sum(F.col("__copies") * F.col("__size")).alias("got"), F.first("target").alias("target")).collect()
+    got = mixing.with_copies(m, mixing.plan(m.select("doc_id", F.col("__sk").alias("sk"), F.col("__size").alias("size")))).groupBy("__sk").agg(F.sum(F.col("__copies") * F.col("__size")).alias("got"), F.first("__target").alias("target")).collect()
     assert all(abs(r.got - r.target) <= 0.01 * r.target for r in got)
 
 
@@ -398,3 +457,11 @@ def test_toxicity_keeps_rare_features(spark):
     rare = spark.createDataFrame([(-1, "lorema zwickelmurk ipsuma"), (-2, "lorema dolora ipsuma")], "doc_id long, text string")
     got = {r.doc_id: r["__score"] for r in toxicity.score(rare, toxicity.train(df, known)).collect()}
     assert got[-1] >= toxicity.THRESHOLD > got[-2]
+
+
+def test_embeddings_of_any_magnitude(spark):
+    x = [(1, [1e200, 1e200, 0.0]), (2, [1.0, 1.0, 0.0]), (3, [1e200, 1.01e200, 0.0]), (4, [1e-200, 1e-200, 0.0]), (5, [0.0, 0.0, 1.0]), (6, [0.0, 0.0, 0.0]), (7, None), (8, [float("nan"), 1.0, 1.0]), (None, [5.0, 5.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1) for r in x], "vec_id long, embedding array<double>, vector int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect()}
+    assert all(got[i] == (4, 1) for i in (1, 2, 3, 4)) and got[None][0] == 4 and all(got[i] == (0, i) for i in (5, 6, 7, 8))
+    assert embeddings.near_vectors(df.limit(0)).collect() == []
