@@ -78,16 +78,18 @@ def ratios(bin: np.ndarray, n: np.ndarray, pos: np.ndarray, rows: int, toxic: in
     return out
 
 
-def fit(flat: np.ndarray, of: np.ndarray, value: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weight of every bin (ratio included) and the bias, from the bins ``flat`` of the rows ``of`` with log counts ``value``.
+def fit(flat: np.ndarray, of: np.ndarray, value: np.ndarray, labels: np.ndarray, use: np.ndarray | None = None, rounds: int = ROUNDS, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weight of every bin (ratio included) and the bias, from the bins ``flat`` of the rows ``of`` with log counts ``value``; only rows marked in ``use`` count.
 
     Logistic loss, both classes weighing the same, by accelerated gradient steps of one over the
     curvature; stopped early, so that a bin's weight stays in proportion to its evidence.
     """
-    toxic, n = int(labels.sum()), len(labels)
-    known, held = np.unique(flat, return_counts=True)
-    ratio = ratios(known, held, np.bincount(flat, weights=labels[of], minlength=BINS)[known], n, toxic)
-    value, share = value * ratio[flat], np.where(labels == 1, 0.5 / toxic, 0.5 / (n - toxic))
+    use, n = np.ones(len(labels)) if use is None else use.astype(np.float64), len(labels)
+    rows, toxic = int(use.sum()), int((labels * use).sum())
+    held = np.bincount(flat, weights=use[of], minlength=BINS)
+    known = np.flatnonzero(held)
+    ratio = ratios(known, held[known], np.bincount(flat, weights=(labels * use)[of], minlength=BINS)[known], rows, toxic)
+    value, share = value * ratio[flat], np.where(labels == 1, 0.5 / toxic, 0.5 / (rows - toxic)) * use
 
     def margins(w: np.ndarray) -> np.ndarray:
         return np.bincount(of, weights=w[flat] * value, minlength=n)
@@ -147,9 +149,8 @@ def fit_calibrated(flat: np.ndarray, of: np.ndarray, value: np.ndarray, labels:
         at = np.flatnonzero(labels == y)
         fold[at] = np.arange(len(at)) % FOLDS
     for k in range(FOLDS):
-        inside, number = fold == k, np.cumsum(fold != k) - 1
-        train = ~inside[of]
-        v, b = fit(flat[train], number[of[train]], value[train], labels[~inside])
+        inside = fold == k
+        v, b = fit(flat, of, value, labels, ~inside)
         out[inside] = (np.bincount(of, weights=v[flat] * value, minlength=len(labels)) + b)[inside]
     slope, offset = calibration(out, labels)
     return (slope * w).astype(np.float32), slope * bias + offset
