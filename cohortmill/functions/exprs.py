@@ -115,7 +115,44 @@ def ttl_escape(s: Column) -> Column:
 
 
 def camel_to_snake(s: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(s, "(.)([A-Z][a-z]+)", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2"))
+    """An underscore where a word of camel case begins: before a capital behind a small letter or digit, and before the last capital of a run that small letters follow."""
+    return F.lower(F.regexp_replace(s, "(?<=[a-z0-9])(?=[A-Z])|(?<=.)(?=[A-Z][a-z])", "_"))
+
+
+def split_predicate(iri: Column) -> Column:
+    """The local name of a predicate (behind the last # or /) in snake case."""
+    return camel_to_snake(F.regexp_extract(iri, "[^#/]*$", 0))
+
+
+def qualifier_structs(strings: Column) -> Column:
+    """Structs of an array of ``type:value`` strings."""
+    return F.transform(F.coalesce(strings, F.expr("cast(array() as array<string>)")), split_qualifier)
+
+
+def qualifier_map(quals: Column) -> Column:
+    """A map of type to value; of a type that comes twice the last value counts."""
+    return F.aggregate(quals, F.expr("cast(map() as map<string,string>)"), lambda acc, q: F.map_concat(F.map_filter(acc, lambda k, v: k != q["qualifier_type"]), F.create_map(q["qualifier_type"], q["qualifier_value"])))
+
+
+def qualifiers_of_map(values: Column) -> Column:
+    """Structs of a map of type to value, sorted by type."""
+    return F.array_sort(F.transform(F.map_entries(values), lambda e: F.struct(e["key"].alias("qualifier_type"), e["value"].alias("qualifier_value"))))
+
+
+def active_qualifiers(quals: Column) -> Column:
+    """The active qualifiers with short types, sorted as their strings are."""
+    return qualifier_structs(normalize_qualifiers(quals))
+
+
+def qualifiers_to_strings(quals: Column) -> Column:
+    """``type:value`` of every qualifier, in the order given."""
+    return F.transform(quals, lambda q: F.concat_ws(":", q["qualifier_type"], q["qualifier_value"]))
+
+
+def excluding(quals: Column) -> Column:
+    """Whether an active qualifier excludes the finding, its type being a short name or one of our IRIs."""
+    types = [*EXCLUDED, *[QUALIFIER + n for n in EXCLUDED]]
+    return F.exists(F.coalesce(quals, F.expr("cast(array() as array<struct<qualifier_type:string,qualifier_value:string>>)")), lambda q: is_active(q["qualifier_value"]) & q["qualifier_type"].isin(types))
 
 
 def url_quote(s: Column) -> Column:

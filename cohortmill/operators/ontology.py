@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import re
 from collections import deque
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
+from ..storage import Store, save
+
+#: The ontologies by the prefix of their terms.
+PREFIXES = {"HP": "hpo", "MONDO": "mondo"}
+
 
 def parse_obo(text: str, prefix: str) -> list[dict]:
     """Terms of one ontology's OBO text: stanzas [Term] with an id and a name; parents of other ontologies are left out."""
@@ -59,30 +67,96 @@ def depths(parents: dict[str, list[str]]) -> dict[str, int]:
 def closure(edges: DataFrame) -> DataFrame:
     """(term_id, ancestor_id) with every term its own ancestor, from (term_id, parent_id).
 
-    Paths double in length with every join, so a hierarchy of depth d takes log2(d) of them.
+    Paths double in length with every join, so a hierarchy of depth d takes log2(d) of them; each
+    round is written, so that none is computed twice.
     """
-    nodes = edges.select("term_id").union(edges.where("parent_id is not null").select("parent_id")).distinct()
-    pairs = nodes.select("term_id", F.col("term_id").alias("ancestor_id")).union(edges.where("parent_id is not null").select("term_id", "parent_id")).distinct()
-    n = -1
+    up = edges.where("parent_id is not null").select("term_id", F.col("parent_id").alias("ancestor_id"))
+    nodes = edges.select("term_id").union(up.select("ancestor_id")).distinct()
+    pairs, n = save(nodes.select("term_id", F.col("term_id").alias("ancestor_id")).union(up).distinct(), "closure"), -1
     while (now := pairs.count()) != n:
         n = now
-        up = pairs.select(F.col("term_id").alias("__t"), F.col("ancestor_id").alias("__a"))
-        pairs = pairs.join(up, F.col("ancestor_id") == F.col("__t")).select("term_id", F.col("__a").alias("ancestor_id")).distinct()
+        far = pairs.select(F.col("term_id").alias("__t"), F.col("ancestor_id").alias("__a"))
+        pairs = save(pairs.join(far, F.col("ancestor_id") == F.col("__t")).select("term_id", F.col("__a").alias("ancestor_id")).distinct(), "closure")
     return pairs
 
 
-def descendants(clo: DataFrame, term: str) -> DataFrame:
-    return clo.where((F.col("ancestor_id") == term) & (F.col("term_id") != term)).select("term_id")
+def hierarchy(terms: DataFrame, source: str, version: str) -> DataFrame:
+    """The rows of one ontology's version, from (term_id, term_label, parent_ids): ancestors with the term itself, ordered by depth and id.
+
+    Depths need the order of a walk from the roots, so one task works them out; an ontology has some
+    ten thousand terms, and several ontologies are several tasks.
+    """
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        found = depths({t: list(p) if p is not None else [] for t, p in zip(rows["term_id"], rows["parent_ids"], strict=True)})
+        return pd.DataFrame({"term_id": list(found), "depth": list(found.values())})
+
+    depth = save(terms.withColumn("o", F.lit(1)).groupBy("o").applyInPandas(walk, "term_id string, depth int"), "depths")
+    clo = closure(terms.select("term_id", F.explode_outer("parent_ids").alias("parent_id")))
+    above = clo.join(depth.select(F.col("term_id").alias("__t"), F.col("depth").alias("d")), F.col("ancestor_id") == F.col("__t"), "left")
+    listed = above.groupBy("term_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("d", F.lit(999)).alias("d"), "ancestor_id"))), lambda x: x["ancestor_id"]).alias("ancestor_term_ids"))
+    out = terms.select("term_id", "term_label").join(listed, "term_id").join(depth, "term_id", "left")
+    return out.select(F.lit(source).alias("ontology_source"), F.lit(version).alias("version"), "term_id", X.term_iri(F.col("term_id")).alias("term_iri"), "term_label", "ancestor_term_ids", F.coalesce("depth", F.lit(0)).alias("depth"), F.current_timestamp().alias("last_updated"))
+
+
+def obo_terms(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    """(term_id, term_label, parent_ids) of the OBO files below a path; each file is parsed by one task."""
+    files = spark.read.text(path, wholetext=True)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for text in b["value"]:
+                yield pd.DataFrame(parse_obo(text, prefix), columns=["term_id", "term_label", "parent_ids"])
+
+    return files.mapInPandas(parse, "term_id string, term_label string, parent_ids array<string>")
+
+
+def load(store: Store, rows: DataFrame) -> None:
+    """Replace the versions that ``rows`` hold in the stored hierarchy."""
+    new = rows.select("ontology_source", "version").distinct()
+    old = store.read("ontology_hierarchy").join(F.broadcast(new), ["ontology_source", "version"], "left_anti")  # one row an ontology's version
+    store.replace("ontology_hierarchy", old.unionByName(rows))
+
+
+def delete_version(store: Store, source: str, version: str) -> int:
+    return store.delete("ontology_hierarchy", (F.lower("ontology_source") == source.lower()) & (F.col("version") == version))
+
+
+def of_version(rows: DataFrame, source: str, version: str) -> DataFrame:
+    return rows.where((F.lower("ontology_source") == source.lower()) & (F.col("version") == version))
+
+
+def closure_of(rows: DataFrame) -> DataFrame:
+    """(term_id, ancestor_id) of hierarchy rows."""
+    return rows.select("term_id", F.explode("ancestor_term_ids").alias("ancestor_id"))
+
+
+def descendants(rows: DataFrame, term: str) -> DataFrame:
+    """term_id, term_iri, term_label and depth of what is below a term, by depth; ``rows`` of one version."""
+    return rows.where(F.array_contains("ancestor_term_ids", term) & (F.col("term_id") != term)).select("term_id", "term_iri", "term_label", "depth").orderBy("depth", "term_id")
+
+
+def ancestors(rows: DataFrame, term: str) -> DataFrame:
+    """term_id, term_label and depth of a term and all above it, from the root down."""
+    up = rows.where(F.col("term_id") == term).select(F.posexplode("ancestor_term_ids").alias("place", "a"))
+    return up.join(rows.select("term_id", "term_label", "depth"), F.col("a") == F.col("term_id")).orderBy("place").select("place", "term_id", "term_label", "depth")
 
 
-def ancestors(clo: DataFrame, term: str) -> DataFrame:
-    return clo.where(F.col("term_id") == term).select("ancestor_id")
+def expand_terms(rows: DataFrame, terms: list[str], versions: dict[str, str]) -> DataFrame:
+    """The terms and all below them, each in the version of its ontology; terms of unknown ontologies are skipped."""
+    known: dict[str, list[str]] = {}
+    for t in terms:
+        source = PREFIXES.get(t.split(":", 1)[0])
+        if source in versions:
+            known.setdefault(source, []).append(t)
+    hit = F.lit(False)
+    for source, ids in known.items():
+        hit |= (F.col("ontology_source") == source) & (F.col("version") == versions[source]) & (F.arrays_overlap("ancestor_term_ids", F.array(*map(F.lit, ids))))
+    return rows.where(hit).select("term_id").distinct()
 
 
-def expand_terms(clo: DataFrame, terms: list[str], prefixes: tuple[str, ...] = ("HP:", "MONDO:")) -> DataFrame:
-    """The terms and all their descendants; terms of unknown ontologies are skipped."""
-    known = [t for t in terms if t.startswith(prefixes)]
-    return clo.where(F.col("ancestor_id").isin(known)).select("term_id").distinct()
+def labels(rows: DataFrame) -> DataFrame:
+    return rows.select("term_iri", "term_id", "term_label")
 
 
 def current_version(sources: DataFrame) -> DataFrame:

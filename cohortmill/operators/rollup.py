@@ -5,33 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
+from .evidence import flat
+
 SUBJECT_KEYS = ["subject_id", "term_iri", "term_id", "termlink_id"]
 PROJECT_KEYS = ["project_id", "subject_id", "project_subject_id", "term_iri", "term_id", "termlink_id"]
 
 
-def _rolled(df: DataFrame, keys: list[str]) -> DataFrame:
+_TAIL = ["qualifiers", "evidence_count", "first_evidence_date", "last_evidence_date"]
+
+
+def _rolled(df: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
     # a termlink's active qualifiers are part of its id, so any row's will do: no explode
+    count = F.count("*") if unique else F.count_distinct("evidence_id")
     return df.groupBy(*keys).agg(
-        F.min("qual_key").alias("qual_key"),
-        F.count_distinct("evidence_id").alias("evidence_count"),
+        F.min(X.active_qualifiers(F.col("qualifiers"))).alias("qualifiers"),
+        count.alias("evidence_count"),
         F.min("note_date").alias("first_evidence_date"),
         F.max("note_date").alias("last_evidence_date"),
     )
 
 
-def by_subject(evidence: DataFrame) -> DataFrame:
-    return _rolled(evidence, SUBJECT_KEYS)
+def by_subject(evidence: DataFrame, unique: bool = False) -> DataFrame:
+    """One row a termlink.  Evidence that is ``unique`` by its id, as in the stored table, is counted without its ids being shuffled."""
+    return _rolled(evidence, SUBJECT_KEYS, unique)
 
 
-def by_project_term(evidence: DataFrame, mapping: DataFrame) -> DataFrame:
+def by_project_term(evidence: DataFrame, mapping: DataFrame, unique: bool = False) -> DataFrame:
     """Rolled up once a subject, then joined with the mapping: evidence is shuffled once and never multiplied."""
-    return by_subject(evidence).join(mapping, "subject_id").select(*PROJECT_KEYS, "qual_key", "evidence_count", "first_evidence_date", "last_evidence_date")
+    return by_subject(evidence, unique).join(mapping, "subject_id").select(*PROJECT_KEYS, *_TAIL)
+
+
+def by_subject_rows(evidence: DataFrame) -> DataFrame:
+    """The rows of the stored by-subject table, from stored evidence."""
+    return by_subject(flat(evidence), unique=True).withColumns({"subject_iri": X.subject_iri(F.col("subject_id")), "term_label": F.lit(None).cast("string")})
+
+
+def by_project_term_rows(by_subject_table: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The rows of the stored by-project table, from those of the by-subject one."""
+    return by_subject_table.join(mapping, "subject_id").withColumn("project_subject_iri", X.project_subject_iri(F.col("project_id"), F.col("project_subject_id")))
 
 
 def merge_delta(target: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """Target with the delta merged: counts added, dates widened, new keys inserted.  One aggregation over both."""
+    """Target with the delta merged: counts added, dates widened, qualifiers united, new keys inserted.  One aggregation over both."""
     return target.unionByName(delta).groupBy(*keys).agg(
-        F.min("qual_key").alias("qual_key"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("qualifiers")))).alias("qualifiers"),
         F.sum("evidence_count").alias("evidence_count"),
         F.min("first_evidence_date").alias("first_evidence_date"),
         F.max("last_evidence_date").alias("last_evidence_date"),
@@ -42,7 +60,7 @@ def refresh(target: DataFrame, evidence: DataFrame, touched: DataFrame, keys: li
     """Target with the rows of the touched subjects computed anew from evidence (the idempotent way)."""
     some = evidence.join(touched.select("subject_id").distinct(), "subject_id", "left_semi")
     fresh = by_subject(some) if mapping is None else by_project_term(some, mapping)
-    return target.join(touched.select("subject_id").distinct(), "subject_id", "left_anti").unionByName(fresh).select(*keys, "qual_key", "evidence_count", "first_evidence_date", "last_evidence_date")
+    return target.join(touched.select("subject_id").distinct(), "subject_id", "left_anti").unionByName(fresh).select(*keys, *_TAIL)
 
 
 def dedupe(evidence: DataFrame) -> DataFrame:

@@ -1,12 +1,27 @@
-"""Evidence, mapping and hierarchy derived from the star-schema tables: DataFrames, and the same as SQL for DuckDB."""
+"""Evidence, mapping and hierarchy derived from the star-schema tables: stored tables, and the same as SQL for DuckDB.
+
+The tables are built once for a session and an input folder, as the service keeps them, and read by
+all queries: evidence by run, the by-project rollup by project and sorted by term, the other rollup
+sorted by subject.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import exprs as X
-from ..operators import ontology, rollup
+from ..operators import evidence as E
+from ..operators import graph, ontology, rollup
+from ..storage import shared_dir
+
+#: A qualifier that is named by an IRI of a public ontology.
+IRI_QUALIFIER = X.OBO + "HP_0012823"
+SOURCE, VERSION = "hpo", "v1"
+VERSIONS = {SOURCE: VERSION}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,74 +35,144 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionAll(c.where("c_mktsegment = 'BUILDING'").select(F.lit("proj-building").alias("project_id"), F.concat(F.lit("b-"), key).alias("project_subject_id"), sid))
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the evidence table, one for each line of an order."""
     item, order = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    number = F.lpad((F.col("l_partkey") % 85).cast("string"), 7, "0")
-    kind = F.when(F.col("l_returnflag") == "R", "negated").when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), "family").when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), "hypothetical")
+    number = F.lpad(F.col("l_partkey").cast("string"), 7, "0")
+    kind = F.when(F.col("l_linenumber") == 7, IRI_QUALIFIER).when(F.col("l_returnflag") == "R", "negated").when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), "family").when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), "hypothetical")
+    quals = F.array(F.struct(kind.alias("qualifier_type"), F.when(F.col("l_linenumber") == 7, "present").otherwise("true").alias("qualifier_value")), F.struct(F.lit("severity").alias("qualifier_type"), F.lit("0").alias("qualifier_value")))
+    day, start = F.col("l_shipdate").cast("timestamp"), F.col("l_linenumber").cast("int")
+    manual = F.col("l_suppkey") % 10 == 0
+    assertion, evidence_type = X.eco_types(F.when(manual, "manual").otherwise("automated"))
+    supp = F.col("l_suppkey").cast("string")
     rows = item.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.concat(F.lit("subj-"), F.col("o_custkey").cast("string")).alias("subject_id"),
-        F.concat(F.lit("HP:"), number).alias("term_id"), F.concat(F.lit(X.OBO + "HP_"), number).alias("term_iri"),
-        F.concat(F.lit("enc-"), F.col("o_orderkey").cast("string")).alias("encounter_id"),
+        F.concat(F.lit("run-"), F.year("l_shipdate").cast("string")).alias("run_id"), F.concat(F.lit("batch-"), F.month("l_shipdate").cast("string")).alias("batch_id"),
+        evidence_type.alias("evidence_type"), assertion.alias("assertion_type"), day.alias("created_timestamp"), F.to_date(day).alias("created_date"), F.lit("clinical_note").alias("source_level"),
+        F.concat(F.lit("subj-"), F.col("o_custkey").cast("string")).alias("subject_id"), F.concat(F.lit("enc-"), F.col("o_orderkey").cast("string")).alias("encounter_id"),
         F.concat(F.lit("note-"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))).alias("clinical_note_id"),
-        F.col("l_linenumber").cast("int").alias("span_start"), (F.col("l_linenumber").cast("int") + F.col("l_quantity").cast("int")).alias("span_end"),
-        F.concat(F.lit("ods/nlp-"), F.col("l_suppkey").cast("string")).alias("creator_id"),
-        F.when(F.col("l_suppkey") % 10 == 0, "manual").otherwise("automated").alias("creator_type"),
-        F.concat(F.lit("run-"), F.year("l_shipdate").cast("string")).alias("run_id"), F.col("l_shipdate").cast("date").alias("note_date"),
-        F.when(kind.isNull(), F.expr("cast(array() as array<struct<qualifier_type:string,qualifier_value:string>>)")).otherwise(F.array(F.struct(kind.alias("qualifier_type"), F.lit("true").alias("qualifier_value")))).alias("qualifiers"),
-    )
-    normal = X.normalize_qualifiers(F.col("qualifiers"))
-    c = F.col
-    return rows.select(
-        *[x for x in rows.columns if x != "qualifiers"], F.array_join(normal, ",").alias("qual_key"),
-        X.termlink_hash(X.subject_iri(c("subject_id")), c("term_iri"), normal).alias("termlink_id"),
-        X.evidence_hash(c("clinical_note_id"), c("encounter_id"), c("term_iri"), c("span_start"), c("span_end"), normal, c("subject_id"), c("creator_id")).alias("evidence_id"),
+        F.concat(F.lit(X.OBO + "HP_"), number).alias("term_iri"),
+        F.struct(F.lit(SOURCE).alias("source"), F.lit(VERSION).alias("version"), F.lit(X.OBO + "hp.owl").alias("iri")).alias("term_source"),
+        F.struct(F.col("l_returnflag").alias("note_type"), day.alias("note_date"), F.col("l_linestatus").alias("provider_type"), F.lit(None).cast("string").alias("author_specialty")).alias("note_context"),
+        F.struct(F.concat(F.lit("ods/nlp-"), supp).alias("creator_id"), F.when(manual, "manual").otherwise("automated").alias("creator_type"), F.concat(F.lit("Reader "), supp).alias("creator_name")).alias("creator"),
+        F.struct(start.alias("span_start"), (start + F.col("l_quantity").cast("int")).alias("span_end"), F.concat(F.lit('{"line":'), start.cast("string"), F.lit("}")).alias("annotation_metadata")).alias("text_annotation"),
+        F.filter(quals, lambda q: q["qualifier_type"].isNotNull()).alias("qualifiers"),
     )
+    return E.with_ids(rows)
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(term_id, parent_id, term_label) of a complete tree with four children a node."""
-    n, parent = F.col("p_partkey"), F.floor((F.col("p_partkey") - 1) / 4)
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term_id, term_label, parent_ids): a tree with four children a node, in which every seventh node has a sibling of its parent as second parent."""
+    n = F.col("p_partkey")
+    parent = F.floor((n - 1) / 4)
+    second = F.floor((parent - 1) / 4) * 4 + 1 + parent % 4
 
     def tid(x):
         return F.concat(F.lit("HP:"), F.lpad(x.cast("string"), 7, "0"))
 
-    return read(spark, sf_dir, "part").where("p_partkey < 85").select(tid(n).alias("term_id"), F.when(n > 0, tid(parent)).alias("parent_id"), F.col("p_name").alias("term_label"))
+    parents = F.array(F.when(n > 0, tid(parent)), F.when((n % 7 == 0) & (parent > 0), tid(second)))
+    return read(spark, sf_dir, "part").select(tid(n).alias("term_id"), F.col("p_name").alias("term_label"), F.filter(parents, lambda x: x.isNotNull()).alias("parent_ids"))
 
 
-def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.closure(edges(spark, sf_dir))
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms(spark, sf_dir).select("term_id", F.explode_outer("parent_ids").alias("parent_id"))
+
+
+_BUILDERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], list[str]]] = {
+    # rows, folder columns, sorted by
+    "evidence": (_evidence, ["run_id"], ["subject_id"]),
+    "by_subject": (lambda s, d: rollup.by_subject(E.flat(stored(s, d, "evidence")), unique=True), [], ["subject_id"]),
+    "by_project_term": (lambda s, d: stored(s, d, "by_subject").join(mapping(s, d), "subject_id"), ["project_id"], ["term_id"]),
+    "hierarchy": (lambda s, d: ontology.hierarchy(terms(s, d), SOURCE, VERSION), [], ["depth", "term_id"]),
+    "triples": (lambda s, d: graph.triples(stored(s, d, "by_subject")).union(graph.project_triples(mapping(s, d))), [], ["p", "s"]),
+}
+_built: dict[tuple[str, str, str], tuple[str, str]] = {}
+
+
+def build(spark: SparkSession, sf_dir: str, name: str) -> None:
+    """Write a table; its folder is its own, so nothing is ever read while it is replaced."""
+    import uuid
+
+    rows, parts, order = _BUILDERS[name]
+    df = rows(spark, sf_dir)
+    path = f"{shared_dir(spark)}/derived/{name}-{uuid.uuid4().hex}"
+    # a hot folder is written by several tasks
+    spread = df.repartition(*parts, F.pmod(F.xxhash64("subject_id"), F.lit(4))) if parts else df.repartitionByRange(*order)
+    spread.sortWithinPartitions(*parts, *order).write.partitionBy(*parts).parquet(path)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    _built[spark.sparkContext.applicationId, sf_dir, name] = path, kinds
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table as it is stored; built when it is first asked for in a session."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _built:
+        build(spark, sf_dir, name)
+    path, kinds = _built[key]
+    return spark.read.schema(kinds).parquet(path)
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with their active qualifiers as one string."""
+    return rows.withColumn("qual_key", F.array_join(X.normalize_qualifiers(F.col("qualifiers")), ","))
+
+
+def full_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence table with all its columns."""
+    rows = stored(spark, sf_dir, "evidence")
+    return rows.select(*spark.createDataFrame([], schemas.EVIDENCE).columns)
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed(E.flat(stored(spark, sf_dir, "evidence")))
 
 
 def by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.by_subject(evidence(spark, sf_dir))
+    return keyed(stored(spark, sf_dir, "by_subject"))
 
 
 def by_project_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.by_project_term(evidence(spark, sf_dir), mapping(spark, sf_dir))
+    return keyed(stored(spark, sf_dir, "by_project_term"))
+
+
+def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "hierarchy")
+
+
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ontology.closure_of(hierarchy(spark, sf_dir))
+
+
+def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "triples")
 
 
+#: Common table expressions that all SQL begins with.
 CTE = f"""with recursive map_ as (
   select 'proj-' || c_nationkey as project_id, 'psid-' || c_custkey as project_subject_id, 'subj-' || c_custkey as subject_id from customer
   union all select 'proj-building', 'b-' || c_custkey, 'subj-' || c_custkey from customer where c_mktsegment = 'BUILDING'),
 ev0 as (
-  select 'subj-' || o_custkey as subject_id, 'HP:' || lpad(cast(l_partkey % 85 as varchar), 7, '0') as term_id,
-         '{X.OBO}HP_' || lpad(cast(l_partkey % 85 as varchar), 7, '0') as term_iri, 'enc-' || o_orderkey as encounter_id,
+  select 'subj-' || o_custkey as subject_id, 'HP:' || lpad(cast(l_partkey as varchar), 7, '0') as term_id,
+         '{X.OBO}HP_' || lpad(cast(l_partkey as varchar), 7, '0') as term_iri, 'enc-' || o_orderkey as encounter_id,
          'note-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey as clinical_note_id, cast(l_linenumber as int) as span_start,
          cast(l_linenumber as int) + cast(l_quantity as int) as span_end, 'ods/nlp-' || l_suppkey as creator_id,
-         case when l_suppkey % 10 = 0 then 'manual' else 'automated' end as creator_type,
-         'run-' || extract(year from l_shipdate) as run_id, cast(l_shipdate as date) as note_date,
-         case when l_returnflag = 'R' then 'negated:true' when l_returnflag = 'N' and l_linestatus = 'O' then 'family:true'
+         case when l_suppkey % 10 = 0 then 'manual' else 'automated' end as creator_type, 'Reader ' || l_suppkey as creator_name,
+         'run-' || extract(year from l_shipdate) as run_id, 'batch-' || extract(month from l_shipdate) as batch_id, cast(l_shipdate as date) as note_date,
+         l_returnflag as note_type, l_linestatus as provider_type,
+         case when l_linenumber = 7 then '{IRI_QUALIFIER}:present' when l_returnflag = 'R' then 'negated:true' when l_returnflag = 'N' and l_linestatus = 'O' then 'family:true'
               when l_returnflag = 'A' and l_linestatus = 'O' then 'hypothetical:true' else '' end as qual_key
   from lineitem join orders on l_orderkey = o_orderkey),
 ev as (
   select *, sha256('{X.BASE}subjects/' || subject_id || '|' || term_iri || '|' || qual_key) as termlink_id,
          sha256(concat_ws('|', clinical_note_id, encounter_id, term_iri, cast(span_start as varchar), cast(span_end as varchar), qual_key, subject_id, creator_id)) as evidence_id
   from ev0),
-node as (select p_partkey as n, case when p_partkey > 0 then cast(floor((p_partkey - 1) / 4) as bigint) end as parent, p_name as term_label from part where p_partkey < 85),
-ends as (select n from node union select parent from node where parent is not null),
-clo as (select n, n as anc from ends union select clo.n, node.parent from clo join node on clo.anc = node.n where node.parent is not null),
+node as (select p_partkey as n, case when p_partkey > 0 then cast(floor((p_partkey - 1) / 4) as bigint) end as parent, p_name as term_label from part),
+edge as (
+  select n, parent from node where parent is not null
+  union select n, cast(floor((parent - 1) / 4) as bigint) * 4 + 1 + parent % 4 from node where n % 7 = 0 and parent > 0),
+clo as (select n, n as anc from node union select clo.n, edge.parent from clo join edge on clo.anc = edge.n),
+deep as (select n, 0 as depth from node where parent is null union all select node.n, depth + 1 from node join deep on node.parent = deep.n),
 closure as (select distinct 'HP:' || lpad(cast(n as varchar), 7, '0') as term_id, 'HP:' || lpad(cast(anc as varchar), 7, '0') as ancestor_id from clo),
-label as (select 'HP:' || lpad(cast(n as varchar), 7, '0') as term_id, term_label from node),
+label as (select 'HP:' || lpad(cast(n as varchar), 7, '0') as term_id, term_label, depth from node join deep using (n)),
 bs as (
   select subject_id, term_iri, term_id, termlink_id, min(qual_key) as qual_key, count(distinct evidence_id) as evidence_count,
          min(note_date) as first_evidence_date, max(note_date) as last_evidence_date from ev group by all),

@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.ingest import RECORD, bulk_import
+from ..schemas import RECORD
+from ..sources.ingest import import_run
+from ..storage import Store
 
 
-def import_stream(spark: SparkSession, source: str, evidence: str, mapping: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Append the new evidence of the files that arrive below ``source`` to the Parquet table ``evidence``."""
+def import_stream(spark: SparkSession, source: str, store: Store, checkpoint: str) -> StreamingQuery:
+    """Import the files that arrive below ``source`` into the stored tables.
+
+    A batch that runs again after a failure adds nothing twice: subjects get the same ids, and
+    evidence that is there is left out.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
-        new, _ = bulk_import(batch, mapping, spark.read.parquet(evidence), f"stream-{number}")
-        new.write.mode("append").parquet(evidence)
+        done = import_run(store, batch, f"stream-{number}")
+        if done["status"] != "import_success":
+            raise RuntimeError(done["error"])
 
     stream = spark.readStream.schema(RECORD).option("recursiveFileLookup", True).json(source)
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -57,4 +57,7 @@ def test_closure(spark):
 def test_guards():
     with pytest.raises(ValueError):
         C.check(C.CohortRequest("p", ["HP:0000118"]))
-    assert C.check(C.CohortRequest("p", ["HP:0000001", "HP:7"], association=True)).terms == ["HP:7"]
+    assert not C.check(C.CohortRequest("p", associated_with="gene")).include_child_terms
+    for bad in (C.CohortRequest(""), C.CohortRequest("p", ["HP:7"], associated_with="gene"), C.CohortRequest("p", limit=0), C.CohortRequest("p", cursor="x")):
+        with pytest.raises(ValueError):
+            C.check(bad)

@@ -1,4 +1,4 @@
-"""Every query of the cohort operators runs, and some are compared with their SQL (all are with the driver's check)."""
+"""Every query of the cohort operators that has SQL gives the rows of its SQL."""
 
 import duckdb
 import pytest
@@ -9,10 +9,10 @@ from cohortmill.plans.queries import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["cohort", "agg_by_project_term", "merge_by_subject", "bulk_import", "phenopacket_export", "write_ttl", "closure", "page_keyset"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_as_sql(spark, name):
     d = duckdb.connect()
-    for t in ("customer", "orders", "lineitem", "part"):
+    for t in ("customer", "orders", "lineitem", "part", "supplier", "nation", "region"):
         d.sql(f"create view {t} as from '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF)
     cols = sorted(got.columns)
