@@ -33,7 +33,7 @@ from .common import save, ship, table
 CAP = 3
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of one size and source that are ranked in one task.
-RANKED = 4096
+RANKED = 512
 STEPS = 60
 NEAR = 1e-9
 
