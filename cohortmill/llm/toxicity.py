@@ -43,7 +43,7 @@ LEAST_RATIO = 0.25
 #: Training texts that must hold a bin, however many there are; the ratio and the decay weigh the rare ones.
 LEAST_TEXTS = 3
 #: Parts of the training texts for the calibration, and steps of a fit.
-FOLDS = 3
+FOLDS = 4
 ROUNDS = 60
 #: Bytes of a text that are hashed at a time.
 PIECE = 1 << 20
