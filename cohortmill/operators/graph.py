@@ -23,15 +23,41 @@ def qualifier_iri(q: Column) -> Column:
     return F.when(t.rlike("^https?://"), t).otherwise(F.concat(F.lit(X.QUALIFIER), t))
 
 
-def triples(rollup: DataFrame) -> DataFrame:
-    """(s, p, o) of every termlink of a by-subject rollup: subject, term, and its active qualifiers."""
+def triples(rollup: DataFrame, unique: bool = False) -> DataFrame:
+    """(s, p, o) of every termlink of a by-subject rollup: subject, term, and its active qualifiers.
+
+    A rollup that is ``unique`` by subject, term and qualifiers, as the stored one is, has no triple
+    twice but those of rows without a subject or a term, and is not shuffled.
+    """
+    if unique:
+        whole = F.col("subject_id").isNotNull() & F.col("term_iri").isNotNull()
+        return _exploded(rollup.where(whole)).union(_exploded(rollup.where(~whole)).distinct())
+    return _exploded(rollup).distinct()
+
+
+def _exploded(rollup: DataFrame) -> DataFrame:
     subject, link = X.subject_iri(F.col("subject_id")), link_iri(F.col("subject_id"), F.col("termlink_id"))
     quals = F.transform(X.active_qualifiers(F.col("qualifiers")), lambda q: F.struct(link.alias("s"), F.lit("hasQualifyingTerm").alias("p"), qualifier_iri(q).alias("o")))
     fixed = F.array(
         F.struct(subject.alias("s"), F.lit("hasTermLink").alias("p"), link.alias("o")),
         F.struct(link.alias("s"), F.lit("hasTerm").alias("p"), F.col("term_iri").alias("o")),
     )
-    return rollup.select(F.explode(F.concat(fixed, quals)).alias("t")).select("t.*").distinct()
+    return rollup.select(F.explode(F.concat(fixed, F.array_distinct(quals))).alias("t")).select("t.*")
+
+
+def triples_by_predicate(rollup: DataFrame) -> DataFrame:
+    """The same triples of a rollup with one row a termlink, predicate by predicate: a filter on p leaves one scan, and nothing is shuffled."""
+    named = F.col("subject_id").isNotNull() & F.col("term_iri").isNotNull()
+    whole = rollup.where(named)
+    subject, link = X.subject_iri(F.col("subject_id")), link_iri(F.col("subject_id"), F.col("termlink_id"))
+
+    def of(p: str, s: Column, o: Column) -> DataFrame:
+        return whole.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+
+    types = F.array_distinct(F.transform(X.active_qualifiers(F.col("qualifiers")), qualifier_iri))
+    out = of("hasTermLink", subject, link).union(of("hasTerm", link, F.col("term_iri"))).union(of("hasQualifyingTerm", link, F.explode(types)))
+    # without a subject or a term a link has no name, and its triples are alike
+    return out.union(triples(rollup.where(~named)))
 
 
 def project_triples(mapping: DataFrame) -> DataFrame:
@@ -59,6 +85,18 @@ def links(t: DataFrame) -> DataFrame:
     return found.join(pattern(t, "hasQualifyingTerm", "link", "qualifier"), "link", "left").select("subject", "link", "term", "qualifier")
 
 
+def links_of(rollup: DataFrame) -> DataFrame:
+    """What ``links`` finds in the triples of a rollup with one row a termlink: the three patterns meet in its rows, so nothing is joined."""
+    types = F.array_distinct(F.transform(X.active_qualifiers(F.col("qualifiers")), qualifier_iri))
+    whole = rollup.where(F.col("subject_id").isNotNull() & F.col("term_iri").isNotNull())
+    return whole.select(X.subject_iri(F.col("subject_id")).alias("subject"), link_iri(F.col("subject_id"), F.col("termlink_id")).alias("link"), F.col("term_iri").alias("term"), F.explode_outer(types).alias("qualifier"))
+
+
+def baseline(rollup: DataFrame) -> DataFrame:
+    """Subjects and termlinks of the graph of a rollup with one row a termlink."""
+    return rollup.agg(F.count_distinct("subject_id").alias("subjects"), F.count_if(F.col("subject_id").isNotNull() & F.col("term_iri").isNotNull()).alias("termlinks"))
+
+
 def without_qualifier(t: DataFrame) -> DataFrame:
     """Links that have no qualifier at all."""
     return pattern(t, "hasTerm", "link", "term").join(pattern(t, "hasQualifyingTerm", "link", "q"), "link", "left_anti")
@@ -133,7 +171,8 @@ def create_term_link(t: DataFrame, subject_id: str, term_iri: str, qualifiers: l
     one = one.withColumn("termlink_id", X.termlink_hash(X.subject_iri(F.col("subject_id")), F.col("term_iri"), normal))
     iri = one.select(link_iri(F.col("subject_id"), F.col("termlink_id")).alias("i")).first()["i"]
     new = triples(one)
-    return new.join(t.select("s", "p", "o"), ["s", "p", "o"], "left_anti"), iri, not node_exists(t, iri)
+    there = t.select("s", "p", "o").join(F.broadcast(new), ["s", "p", "o"], "left_semi")  # a link's few triples
+    return new.join(there, ["s", "p", "o"], "left_anti"), iri, not node_exists(t, iri)
 
 
 def get_term_link(t: DataFrame, iri: str, evidence: DataFrame, labels: DataFrame) -> DataFrame:
@@ -166,6 +205,17 @@ def subjects_of_terms(t: DataFrame, terms: DataFrame, exclude: tuple[str, ...] =
     return found.join(F.broadcast(first), "subject").select("subject", "link", "term")  # a page of subjects
 
 
+def subjects_in_rollup(rollup: DataFrame, terms: DataFrame, exclude: tuple[str, ...] = X.EXCLUDED, cursor: str | None = None, limit: int = 100) -> DataFrame:
+    """``subjects_of_terms`` of the triples of a rollup with one row a termlink: its rows are joined while they have no names yet."""
+    types = F.transform(X.active_qualifiers(F.col("qualifiers")), qualifier_iri)
+    found = rollup.where(F.col("subject_id").isNotNull() & ~F.arrays_overlap(types, F.array(*[F.lit(X.QUALIFIER + e) for e in exclude]).cast("array<string>")))
+    found = found.join(terms.select(F.col("term").alias("term_iri")).distinct(), "term_iri", "left_semi").withColumn("subject", X.subject_iri(F.col("subject_id")))
+    if cursor:
+        found = found.where(F.col("subject") > cursor)
+    first = found.select("subject").distinct().orderBy("subject").limit(limit)
+    return found.join(F.broadcast(first), "subject").select("subject", link_iri(F.col("subject_id"), F.col("termlink_id")).alias("link"), F.col("term_iri").alias("term"))  # a page of subjects
+
+
 def path(t: DataFrame, closure: DataFrame, term_iri: str) -> DataFrame:
     """Links to a term or to what is below it, any number of steps: a join with the closure (term_id, ancestor_id)."""
     below = closure.where(X.term_iri(F.col("ancestor_id")) == term_iri).select(X.term_iri(F.col("term_id")).alias("term"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,10 +64,10 @@ def bulk_import(records: DataFrame, mapping: DataFrame, existing: DataFrame, run
 
 
 def validate_input_files(spark: SparkSession, path: str) -> dict:
-    """The NDJSON files below a path, their size, and the project they are for: from a folder's name, or else the first record."""
+    """The NDJSON files below a path (packed ones too), their size, and the project they are for: from a folder's name, or else the first record."""
     from ..storage import listing
 
-    files = [(p, n) for p, n in listing(spark, path, recursive=True) if p.endswith(".json") or (p.endswith(".jsonl") and "/jsonl/" in p)]
+    files = [(p, n) for p, n in listing(spark, path, recursive=True) if (q := re.sub(r"\.(gz|bz2)$", "", p)).endswith(".json") or (q.endswith(".jsonl") and "/jsonl/" in q)]
     if not files:
         raise FileNotFoundError(f"no input files below {path}")
     named = [part.split("=", 1)[1] if "=" in part else files[0][0].split("/projects/")[1].split("/")[0] for part in files[0][0].split("/") if part.startswith("project_id=") or part == "projects"]
