@@ -5,6 +5,7 @@ import re
 import pytest
 
 from cohortmill.operators import graph as G
+from cohortmill.operators import ontology as O
 from cohortmill.operators import rollup as R
 from cohortmill.plans import derived as D
 from cohortmill.plans.queries import QUERIES
@@ -45,3 +46,19 @@ def test_insert_only_with_nulls(spark):
     have = spark.createDataFrame([("a", "1", 9), ("a", None, 9)], kinds)
     new = spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("a", "2", 1), ("a", None, 3)], kinds)
     assert sorted(map(repr, map(tuple, R.insert_only(have, new).collect()))) == ["('a', '2', 1)", "('a', None, 3)"]
+
+
+def test_closure_writes_a_pair_once(spark, monkeypatch):
+    """Two ways up, a chain of 9 and a circle of three."""
+    edges = [("d", "b"), ("d", "c"), ("b", "a"), ("c", "a"), ("a", None), *[(f"n{i}", f"n{i + 1}") for i in range(9)], ("x", "y"), ("y", "z"), ("z", "x")]
+    written, save = [], O.save
+
+    def counted(df, tag):
+        out = save(df, tag)
+        written.append(out.count() if tag == "closure" else 0)
+        return out
+
+    monkeypatch.setattr(O, "save", counted)
+    got = [tuple(r) for r in O.closure(spark.createDataFrame(edges, "term_id string, parent_id string")).collect()]
+    want = {(f"n{i}", f"n{j}") for i in range(10) for j in range(i, 10)} | {(p, q) for p in "xyz" for q in "xyz"} | {(t, u) for t, ups in {"a": "a", "b": "ba", "c": "ca", "d": "dbca"}.items() for u in ups}
+    assert len(got) == len(want) and set(got) == want and sum(written) == len(want)
