@@ -1,9 +1,15 @@
 """What the derived tables and the plans over them leave out of files and shuffles."""
 
+import os
 import re
+import subprocess
+import sys
 
 import pytest
+from conftest import ROOT
 
+from cohortmill.functions import exprs as X
+from cohortmill.operators import evidence as E
 from cohortmill.operators import graph as G
 from cohortmill.operators import ontology as O
 from cohortmill.operators import rollup as R
@@ -62,3 +68,36 @@ def test_closure_writes_a_pair_once(spark, monkeypatch):
     got = [tuple(r) for r in O.closure(spark.createDataFrame(edges, "term_id string, parent_id string")).collect()]
     want = {(f"n{i}", f"n{j}") for i in range(10) for j in range(i, 10)} | {(p, q) for p in "xyz" for q in "xyz"} | {(t, u) for t, ups in {"a": "a", "b": "ba", "c": "ca", "d": "dbca"}.items() for u in ups}
     assert len(got) == len(want) and set(got) == want and sum(written) == len(want)
+
+
+def test_build_leaves_no_shuffle_files(tmp_path):
+    """A table's shuffles are gone when its build returns; in a session of its own, whose folder it looks into."""
+    code = f"""
+import glob, sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.local.dir", {str(tmp_path)!r}).config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", 4).config("spark.sql.autoBroadcastJoinThreshold", "-1").getOrCreate()
+from cohortmill.plans import derived as D
+left = []
+for name in ("evidence", "by_subject", "by_project_term"):
+    D.build(s, {SF!r}, name)
+    left.append(len(glob.glob({str(tmp_path)!r} + "/**/shuffle_*.data", recursive=True)))
+print("left", left)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "SPARK_LOCAL_DIRS"}
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, timeout=300)
+    assert "left [0, 0, 0]" in out.stdout, out.stderr[-2000:]
+
+
+def test_downsert_shuffles_evidence_once(spark):
+    plan = QUERIES["downsert_on_remove"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("RepartitionByExpression", plan)) == 1
+
+
+def test_ids_by_kind_are_those_of_the_qualifiers(spark):
+    """The stored tables' ids, which are made of the kind, against ids made of the qualifiers."""
+    e = D.stored(spark, SF, "evidence")
+    got, want = (df.select("termlink_id", "evidence_id") for df in (e, E.with_ids(e)))
+    assert e.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    r = D.by_subject(spark, SF)
+    assert r.where(r.termlink_id != X.termlink_hash(X.subject_iri(r.subject_id), r.term_iri, X.normalize_qualifiers(r.qualifiers))).isEmpty()
