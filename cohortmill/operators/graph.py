@@ -206,14 +206,20 @@ def subjects_of_terms(t: DataFrame, terms: DataFrame, exclude: tuple[str, ...] =
 
 
 def subjects_in_rollup(rollup: DataFrame, terms: DataFrame, exclude: tuple[str, ...] = X.EXCLUDED, cursor: str | None = None, limit: int = 100) -> DataFrame:
-    """``subjects_of_terms`` of the triples of a rollup with one row a termlink: its rows are joined while they have no names yet."""
+    """``subjects_of_terms`` of the triples of a rollup with one row a termlink.
+
+    Subjects and terms alone are joined to find the page, and only the page's rows, which are few,
+    are joined with their links: an inner join, as a semi join would be moved below the page's.
+    """
     types = F.transform(X.active_qualifiers(F.col("qualifiers")), qualifier_iri)
-    found = rollup.where(F.col("subject_id").isNotNull() & ~F.arrays_overlap(types, F.array(*[F.lit(X.QUALIFIER + e) for e in exclude]).cast("array<string>")))
-    found = found.join(terms.select(F.col("term").alias("term_iri")).distinct(), "term_iri", "left_semi").withColumn("subject", X.subject_iri(F.col("subject_id")))
+    rows = rollup.where(F.col("subject_id").isNotNull() & ~F.arrays_overlap(types, F.array(*[F.lit(X.QUALIFIER + e) for e in exclude]).cast("array<string>")))
+    rows = rows.withColumn("subject", X.subject_iri(F.col("subject_id")))
     if cursor:
-        found = found.where(F.col("subject") > cursor)
-    first = found.select("subject").distinct().orderBy("subject").limit(limit)
-    return found.join(F.broadcast(first), "subject").select("subject", link_iri(F.col("subject_id"), F.col("termlink_id")).alias("link"), F.col("term_iri").alias("term"))  # a page of subjects
+        rows = rows.where(F.col("subject") > cursor)
+    wanted = terms.select(F.col("term").alias("term_iri")).distinct()
+    first = rows.select("subject", "term_iri").join(wanted, "term_iri", "left_semi").select("subject").distinct().orderBy("subject").limit(limit)
+    found = rows.join(F.broadcast(first), "subject").join(wanted, "term_iri")  # a page of subjects
+    return found.select("subject", link_iri(F.col("subject_id"), F.col("termlink_id")).alias("link"), F.col("term_iri").alias("term"))
 
 
 def path(t: DataFrame, closure: DataFrame, term_iri: str) -> DataFrame:
