@@ -45,17 +45,25 @@ def _exploded(rollup: DataFrame) -> DataFrame:
     return rollup.select(F.explode(F.concat(fixed, F.array_distinct(quals))).alias("t")).select("t.*")
 
 
-def triples_by_predicate(rollup: DataFrame) -> DataFrame:
-    """The same triples of a rollup with one row a termlink, predicate by predicate: a filter on p leaves one scan, and nothing is shuffled."""
+def triples_by_predicate(rollup: DataFrame, naming: str | None = None) -> DataFrame:
+    """The same triples of a rollup with one row a termlink, predicate by predicate: a filter on p leaves one scan, and nothing is shuffled.
+
+    With ``naming``, an IRI, at least those that name it, and all of its subject if it is one or a
+    subject's link: rows that can't are left out before their ids are worked out.
+    """
     named = F.col("subject_id").isNotNull() & F.col("term_iri").isNotNull()
     whole = rollup.where(named)
     subject, link = X.subject_iri(F.col("subject_id")), link_iri(F.col("subject_id"), F.col("termlink_id"))
+    types = F.array_distinct(F.transform(X.active_qualifiers(F.col("qualifiers")), qualifier_iri))
 
-    def of(p: str, s: Column, o: Column) -> DataFrame:
-        return whole.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    def of(p: str, s: Column, o: Column, has: Column = F.lit(False)) -> DataFrame:
+        rows = whole if naming is None else whole.where(F.startswith(F.lit(naming), subject) | has)
+        return rows.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
 
-    types = F.array_distinct(F.transform(X.active_qualifiers(F.col("qualifiers")), qualifier_iri))
-    out = of("hasTermLink", subject, link).union(of("hasTerm", link, F.col("term_iri"))).union(of("hasQualifyingTerm", link, F.explode(types)))
+    out = of("hasTermLink", subject, link).union(of("hasTerm", link, F.col("term_iri"), F.col("term_iri") == naming))
+    # an IRI ends with its qualifier's type; a type with a colon may be cut there, and is left to the caller's filter
+    kin = F.exists("qualifiers", lambda q: F.endswith(F.lit(naming), q["qualifier_type"]) | F.contains(q["qualifier_type"], F.lit(":")))
+    out = out.union(of("hasQualifyingTerm", link, F.explode(types), kin))
     # without a subject or a term a link has no name, and its triples are alike
     return out.union(triples(rollup.where(~named)))
 

@@ -147,10 +147,12 @@ ORACLE_SQL["get_subjects_graph"] = D.CTE.rstrip() + ", " + ORACLE_SQL["get_subje
 
 @query("node_exists", "select * from (values ('node', true), ('no node', false), ('triple', true), ('no triple', false), ('project', true), ('subject', true)) t(kind, found)", False)
 def node_exists(s, d):
-    t, m = D.triples(s, d), D.mapping(s, d)
-    one = t.where("p = 'hasTerm'").orderBy("s").first()
+    m, nobody = D.mapping(s, d), X.BASE + "subjects/nobody"
+    first = D.parts(s, d, "by_subject").where("subject_id is not null and term_id is not null").agg(F.min("subject_id").alias("i")).first()["i"]
+    one = D.triples(s, d, f"{X.BASE}subjects/{first}").where("p = 'hasTerm'").orderBy("s").first()
+    t = D.triples(s, d, one["s"])
     found = [
-        ("node", G.node_exists(t, one["s"])), ("no node", G.node_exists(t, X.BASE + "subjects/nobody")), ("triple", G.triple_exists(t, one["s"], "hasTerm", one["o"])), ("no triple", G.triple_exists(t, one["s"], "hasTerm", "x")),
+        ("node", G.node_exists(t, one["s"])), ("no node", G.node_exists(D.triples(s, d, nobody), nobody)), ("triple", G.triple_exists(t, one["s"], "hasTerm", one["o"])), ("no triple", G.triple_exists(t, one["s"], "hasTerm", "x")),
         ("project", S.exists(m, project_id=B)), ("subject", S.exists(m, subject_id="subj-7")),
     ]
     return s.createDataFrame(found, "kind string, found boolean")
