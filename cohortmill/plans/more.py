@@ -163,7 +163,7 @@ NEW_LINK = f"'{X.BASE}subjects/subj-7/term-link/' || sha256('{X.BASE}subjects/su
 
 @query("create_term_link", f"select '{X.BASE}subjects/subj-7' as s, 'hasTermLink' as p, {NEW_LINK} as o union all select {NEW_LINK}, 'hasTerm', '{X.OBO}HP_9999999' union all select {NEW_LINK}, 'hasQualifyingTerm', '{X.QUALIFIER}negated'", False)
 def create_term_link(s, d):
-    return G.create_term_link(D.triples(s, d), "subj-7", X.OBO + "HP_9999999", ["negated:true", "family:false"])[0]
+    return G.create_term_link(D.triples(s, d, X.BASE + "subjects/subj-7"), "subj-7", X.OBO + "HP_9999999", ["negated:true", "family:false"])[0]
 
 
 def _first_link(s, d) -> str:
