@@ -173,7 +173,7 @@ def _first_link(s, d) -> str:
 
 FIRST_LINK = "(select min(termlink_id) from bs where subject_id = 'subj-7')"
 query("get_term_link", f"select '{X.BASE}subjects/subj-7' as subject, term_iri, term_label, evidence_count, case when qual_key like 'http%' then regexp_replace(qual_key, ':[^:/]*$', '') when qual_key <> '' then '{X.QUALIFIER}' || split_part(qual_key, ':', 1) else '' end as qualifiers from bs join label using (term_id) where termlink_id = {FIRST_LINK}")(
-    lambda s, d: G.get_term_link(D.triples(s, d), _first_link(s, d), D.evidence(s, d), D.hierarchy(s, d).select("term_iri", "term_label")).select("subject", "term_iri", "term_label", "evidence_count", F.array_join("qualifiers", ",").alias("qualifiers"))
+    lambda s, d: G.get_term_link(D.triples(s, d, i := _first_link(s, d)), i, D.evidence(s, d), D.hierarchy(s, d).select("term_iri", "term_label")).select("subject", "term_iri", "term_label", "evidence_count", F.array_join("qualifiers", ",").alias("qualifiers"))
 )
 query("delete_term_link", f"select link, term from ({LINKS}) where link <> '{X.BASE}subjects/subj-7/term-link/' || {FIRST_LINK}")(lambda s, d: G.pattern(G.delete_term_link(D.triples(s, d), _first_link(s, d)), "hasTerm", "link", "term"))
 query("graph_dump", f"select link as s, term as o from ({LINKS}) order by 1, 2 limit 25")(lambda s, d: G.dump(D.triples(s, d).where("p = 'hasTerm'"), 25).select("s", "o"))
